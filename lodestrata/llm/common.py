@@ -101,13 +101,13 @@ _BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB8665
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table256: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each row: (start, end, row, 64-bit hash). table256 maps bytes to their folded form, 0 for separators.
+    """Words of each row: (start, end, row, 64-bit hash). table256 maps bytes to their folded form, separators to 32.
     Words never cross rows. The hash is a polynomial over folded bytes, so equal words hash equally everywhere."""
     none = np.zeros(0, np.int64)
     if not len(data):
         return none, none, none, np.zeros(0, np.uint64)
     folded = np.frombuffer(data.tobytes().translate(table256), dtype=np.uint8)
-    inside = folded != 0
+    inside = folded != 32
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
@@ -140,14 +140,13 @@ def shingles(word_hash: np.ndarray, word_row: np.ndarray, n: int) -> tuple[np.nd
 
 
 def fold_table(separators: bytes, lower: bool = True) -> bytes:
-    """A table for words(): A-Z folded if asked, separators to 0. Byte 0 itself counts as byte 1 when it is no separator."""
+    """A table for words(): A-Z folded if asked, separators, of which the blank must be one, to the blank."""
     out = bytearray(range(256))
     if lower:
         for c in range(65, 91):
             out[c] = c + 32
-    out[0] = 1
     for c in separators:
-        out[c] = 0
+        out[c] = 32
     return bytes(out)
 
 
