@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, toxicity
+from . import decontamination, ngram_join, secrets, toxicity
 from .common import table
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spelled("base").cast("binary"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"), F.size("live").cast("long").alias("n_live"), "n_examples")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -25,5 +31,5 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op7_ngram_jaccard_join, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op7_ngram_jaccard_join, op9_secret_scan, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
