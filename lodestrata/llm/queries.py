@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, secrets, toxicity
+from . import decontamination, ngram_join, secrets, sentencepieces, toxicity
 from .common import table
 
 
@@ -26,10 +26,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "n_exact", "n_stem", "n_fuzzy", "n_quoted")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op7_ngram_jaccard_join, op9_secret_scan, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_sentencepiece, op7_ngram_jaccard_join, op9_secret_scan, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
