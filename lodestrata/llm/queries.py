@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, ngram_join, secrets, sentencepieces, sharding, toxicity, url_filter
+from . import chat, decontamination, media, ngram_join, secrets, sentencepieces, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "n_exact", "n_stem", "n_fuzzy", "n_quoted")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "length")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"))
 
@@ -92,5 +97,5 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op5_sentencepiece, op6_chat_format, op7_ngram_jaccard_join, op8_url_filter, op9_secret_scan, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_media_columns, op5_sentencepiece, op6_chat_format, op7_ngram_jaccard_join, op8_url_filter, op9_secret_scan, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
