@@ -50,9 +50,9 @@ def wanted(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(df[f"`{name}`"].cast(kind).alias(name) for name, kind in types.items()))
 
 
-def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Consecutive rows as (first row, bytes, offsets of length rows + 1). Null texts have no bytes.
-    A slice holds at most `most` bytes unless a single row is longer."""
+    A slice holds at most `rows` rows, and at most `most` bytes unless a single row is longer."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -67,7 +67,7 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
     first = 0
     while first < n:
         done = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, done + most, side="right"))))
         own = lengths[first:last]
         if offsets[last] - offsets[first] == own.sum():
             part = data[offsets[first] : offsets[last]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, media, ngram_join, secrets, sentencepieces, sharding, toxicity, url_filter
+from . import chat, decontamination, language_id, media, ngram_join, secrets, sentencepieces, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "second", "ambiguous")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -97,5 +102,5 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_toxicity, op4_media_columns, op5_sentencepiece, op6_chat_format, op7_ngram_jaccard_join, op8_url_filter, op9_secret_scan, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_toxicity, op4_media_columns, op5_sentencepiece, op6_chat_format, op7_ngram_jaccard_join, op8_url_filter, op9_secret_scan, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
