@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import digests, scalars
 
@@ -84,7 +85,7 @@ def with_bodies(entries: DataFrame) -> DataFrame:
                         body = f.read()
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(k, 1) for i in range(len(names))), pa.array([body], pa.binary())], names=[*names, "body"])
 
-    return entries.mapInArrow(read, entries.schema.add("body", "binary"))
+    return entries.mapInArrow(read, T.StructType([*entries.schema.fields, T.StructField("body", T.BinaryType())]))
 
 
 def fingerprints(spark: SparkSession, root: str) -> DataFrame:
