@@ -209,6 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with their columns; needs distinct doc_ids."""
+    """The documents without any occurrence of a benchmark window, with their columns; rows that share a
+    doc_id stay or go together, and rows without one stay."""
     hit = decontaminate(docs, benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hit, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -94,7 +94,7 @@ def fit(x: np.ndarray, language: np.ndarray, languages: list[str], rounds: int =
     the same."""
     code = codewords(len(languages))
     y = code[language]
-    weigh = (1 / np.bincount(language, minlength=len(languages))[language])[:, None].astype(np.float32)
+    weigh = (1 / np.maximum(np.bincount(language, minlength=len(languages)), 1)[language])[:, None].astype(np.float32)
     weigh = weigh / weigh.sum()
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
@@ -149,6 +149,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for r in found.toLocalIterator():
         x.append(np.frombuffer(r.x, np.float16))
         language.append(place[r.lang])
+    if not x:
+        return Model([], np.ones((0, 1)), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32), np.ones(1), 1.0)
     return fit(np.array(x, np.float32), np.array(language), languages)
 
 

@@ -329,6 +329,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with the least doc_id of their component, with their columns; needs distinct doc_ids."""
+    """The documents with the least doc_id of their component, with their columns; rows that share a
+    doc_id stay or go together, and rows without one stay."""
     gone = ngram_join(docs, n, percent).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,8 +90,8 @@ _TAIL = bytes(range(0x80, 0xC0))
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string()), ("random", pa.bool_())]))
     for batch in batches:
-        found, hashes = [], []
-        for text in batch.column(3).cast(pa.binary()).to_pylist():
+        found = []
+        for text in batch.column(4).cast(pa.binary()).to_pylist():
             text = text or b""
             spans = []
             at = points = 0
@@ -100,17 +101,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = a
                 spans.append({"kind": kind, "start": points, "end": points + len(text[a:z].translate(None, _TAIL)), "hash": hashlib.sha256(value).hexdigest(), "random": _looks_random(value)})
             found.append(spans)
-            hashes.append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hashes, pa.int64()), pa.array(found, schema)], names=FOUND.names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(found, schema)], names=FOUND.names)
 
 
 def scan(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
-    """Per document: doc_id, base (spans of the three pattern kinds), spans (these and live tokens of high entropy), live
+    """Per document: doc_id, text_hash (xxhash64 of its text), base (spans of the three pattern kinds), spans (these and live tokens of high entropy), live
     (spans that are live), n_examples. A span is (kind, start, end) in code points, end exclusive, by start and then
     kind. repository and owner name string columns; where null, the document counts as its own unknown owner. Null texts
     count as empty and have no spans. Repeated rows give repeated results and count once in the corpus; other columns
     are ignored."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{repository}`").cast("string").alias("repository"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{repository}`").cast("string").alias("repository"), F.col(f"`{owner}`").cast("string").alias("owner"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = common.settled(rows.mapInArrow(_scan, FOUND), "candidates")
     full = found.where(F.size("found") > 0)
     single = full.select("repository", "owner", "doc_id", "text_hash", F.explode(F.array_distinct("found.hash")).alias("hash"))
@@ -123,9 +123,9 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     judged = each.join(examples, "hash", "left").withColumn("example", F.coalesce("example", F.lit(False))).withColumn("live", ~F.col("example") & F.col("random"))
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank"), "kind", "end", "live", "example")
     by_doc = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(span)).alias("all"))  # bounded by one text
-    joined = found.select("doc_id", "text_hash").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", F.coalesce("all", F.array().cast(by_doc.schema["all"].dataType)).alias("all"))
+    joined = found.select("doc_id", "text_hash").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text_hash", F.coalesce("all", F.array().cast(by_doc.schema["all"].dataType)).alias("all"))
     plain = lambda keep: F.transform(F.filter("all", keep), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
-    return joined.select("doc_id", plain(lambda s: s.kind != "entropy").alias("base"), plain(lambda s: (s.kind != "entropy") | s.live).alias("spans"), plain(lambda s: s.live).alias("live"), F.size(F.filter("all", lambda s: s.example)).cast("long").alias("n_examples"))
+    return joined.select("doc_id", "text_hash", plain(lambda s: s.kind != "entropy").alias("base"), plain(lambda s: (s.kind != "entropy") | s.live).alias("spans"), plain(lambda s: s.live).alias("live"), F.size(F.filter("all", lambda s: s.example)).cast("long").alias("n_examples"))
 
 
 def spelled(spans: str) -> F.Column:
@@ -135,17 +135,18 @@ def spelled(spans: str) -> F.Column:
 
 def masked(docs: DataFrame, repository: str = "source", owner: str = "source", mask: str = "[secret]") -> DataFrame:
     """The documents with every live span of their texts replaced by a mask, n_chars as it then is, other columns as they
-    are; needs distinct doc_ids."""
+    are."""
+    own, text_hash, spans = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "hash", "live"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     last = lambda acc: F.element_at(acc, -1)
     apart = lambda acc, s: F.concat(acc, F.array(F.struct(s.start.alias("start"), s.end.alias("end"))))
     wider = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc).start.alias("start"), F.greatest(last(acc).end, s.end).alias("end"))))
     merged = F.aggregate("live", none, lambda acc, s: F.when((F.size(acc) > 0) & (s.start < F.try_element_at(acc, F.lit(-1)).end), wider(acc, s)).otherwise(apart(acc, s)))
-    live = common.settled(scan(docs, repository, owner).where(F.size("live") > 0).select(F.col("doc_id").alias("_id"), merged.alias("_live")), "live")
-    joined = docs.join(live, F.col("doc_id") == F.col("_id"), "left")
-    starts, ends = F.concat(F.array(F.lit(0).cast("long")), F.col("_live.end")), F.concat(F.col("_live.start"), F.array(F.length("text").cast("long")))
+    live = common.settled(scan(docs, repository, owner).where(F.size("live") > 0).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), merged.alias(spans)).distinct(), "live")
+    joined = docs.join(live, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    starts, ends = F.concat(F.array(F.lit(0).cast("long")), F.col(f"{spans}.end")), F.concat(F.col(f"{spans}.start"), F.array(F.length("text").cast("long")))
     pieces = F.zip_with(starts, ends, lambda a, z: F.substring(F.col("text"), a.cast("int") + 1, (z - a).cast("int")))
-    less = F.aggregate("_live", F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start - len(mask))
-    kept = F.col("_live").isNull()
+    less = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start - len(mask))
+    kept = F.col(spans).isNull()
     new = {"text": F.when(kept, F.col("text")).otherwise(F.array_join(pieces, mask)), "n_chars": F.when(kept, F.col("n_chars")).otherwise(F.length("text") - less).cast("long") if "n_chars" in docs.columns else None}
     return joined.select(*((new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in docs.columns))

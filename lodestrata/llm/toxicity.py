@@ -320,6 +320,7 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tolerable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns; needs distinct doc_ids."""
+    """The documents that are not predicted toxic, with their columns; rows that share a
+    doc_id stay or go together, and rows without one stay."""
     gone = predict(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
