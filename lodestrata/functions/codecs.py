@@ -57,10 +57,19 @@ def recompressed(kind: str, data: bytes) -> bytes | None:
     magic = {"jpeg": b"\xff\xd8", "png": b"\x89PNG"}[kind]
     if not data.startswith(magic) or kind not in RECOMPRESSORS:
         return None
-    try:
-        return RECOMPRESSORS[kind][0](data)
-    except Exception:  # as for any failure of the codec
-        return None
+    return attempted(RECOMPRESSORS[kind][0])(data)
+
+
+def attempted(encode: Callable[[bytes], bytes]) -> Callable[[bytes], bytes | None]:
+    """An encoder that gives None where it fails."""
+
+    def tried(data: bytes) -> bytes | None:
+        try:
+            return encode(data)
+        except Exception:  # as for any failure of a codec
+            return None
+
+    return tried
 
 
 def trained_dictionary(samples: list[bytes], size: int) -> bytes | None:

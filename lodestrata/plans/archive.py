@@ -6,18 +6,20 @@ entries alone. Rows are ranged by the solid order before they are written, so li
 
 from __future__ import annotations
 
+import base64
 import json
 import os
+from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, digests, settings
+from ..functions import codecs, digests, fixed, scalars, settings
 from ..functions.settings import Options
 from ..operators import chunking, dedup, inventory, ordering, selectors
 
-ENTRY = ["rel", "kind", "mode", "size", "mtime", "link_target", "hash_algo", "hash", "bucket", "batch"]
+ENTRY = ["rel", "kind", "mode", "size", "mtime", "link_target", "hash_algo", "hash", "bucket", "batch", "xattrs"]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -40,24 +42,41 @@ def _publish(spark: SparkSession, made: str, path: str) -> None:
         raise OSError(f"can't move {made} to {path}")
 
 
-def _write(spark: SparkSession, entries: DataFrame, path: str, options: Options, hash_algo: str | None, batch: int, mode: str) -> None:
+def _images(entries: DataFrame) -> DataFrame:
+    """The entries with `image`: the body of a recompressed JPEG or PNG where there is a recompressor and it succeeds."""
+    image = F.lit(None).cast("binary")
+    for kind, (encode, _) in codecs.RECOMPRESSORS.items():
+        image = F.when(scalars.sniffed(F.col("body")) == kind.capitalize(), codecs.applied(F.col("body"), codecs.attempted(encode))).otherwise(image)
+    return entries.withColumn("image", image)
+
+
+def trained(entries: DataFrame) -> bytes | None:
+    """A zstd dictionary from the heads of entries in solid order, which are at most 16 MiB together."""
+    total = entries.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).select(scalars.dictionary_size(F.col("n")).alias("n")).first().n
+    sample = ordering.sampled(entries.drop("body")).select("full", "head").join(entries.select("full", "body"), "full")
+    return codecs.trained_dictionary([bytes(r.b) for r in sample.select(F.expr("substring(body, 1, cast(head AS int))").alias("b")).collect()], total)
+
+
+def _write(spark: SparkSession, entries: DataFrame, path: str, options: Options, hash_algo: str | None, batch: int, mode: str, dictionary: bytes | None = None) -> None:
     codec = settings.backend(options)
     if codec == "ppmd":
         raise ValueError("codec not available: ppmd")
     routed = ordering.route(entries) if options.route else entries.withColumn("bucket", F.lit("default"))
     dups = dedup.duplicates(routed, F.sha2("body", 256), "bucket").select("full", "canonical_rel")
-    packed = routed.join(dups, "full", "left")
+    packed = _images(routed.join(dups, "full", "left"))
     is_link = F.col("canonical_rel").isNotNull()
     cut = F.lit(options.chunked) & F.col("is_regular") & (F.col("size") > 0)
-    kind = F.when(is_link, 3).when(cut, 4).otherwise(F.col("kind"))
+    kind = F.when(is_link, 3).when(F.col("image").isNotNull(), F.when(scalars.sniffed(F.col("body")) == "Jpeg", 5).otherwise(6)).when(cut, 4).otherwise(F.col("kind"))
     rows = packed.select(
         F.translate("rel", "\\", "/").alias("rel"), kind.alias("kind"), F.col("mode").cast("long").alias("mode"), F.when(is_link, 0).otherwise(F.col("size")).cast("long").alias("size"), F.col("mtime").cast("long").alias("mtime"),
-        F.when(is_link, F.col("canonical_rel")).otherwise(F.coalesce("link_target", F.lit(""))).alias("link_target"), F.lit(hash_algo).cast("string").alias("hash_algo"), F.when(kind.isin(0, 4, 5, 6), digests.trailer(F.col("body"), hash_algo)).alias("hash"), "bucket", F.lit(batch).alias("batch"), F.col("ext"), F.col("body"),
+        F.when(is_link, F.col("canonical_rel")).otherwise(F.coalesce("link_target", F.lit(""))).alias("link_target"), F.lit(hash_algo).cast("string").alias("hash_algo"), F.when(kind.isin(0, 4, 5, 6), digests.trailer(F.col("body"), hash_algo)).alias("hash"), "bucket", F.lit(batch).alias("batch"), (F.col("xattrs") if "xattrs" in entries.columns else F.array()).cast("array<struct<name:binary,value:binary>>").alias("xattrs"), F.col("ext"), F.col("body"), F.col("image"),
     )
     laid = rows.repartitionByRange(*ordering.solid_key()).sortWithinPartitions(*ordering.solid_key())
     laid.select(*ENTRY).write.mode(mode).parquet(f"{path}/entries")
     has_body = laid.where("kind IN (0, 5, 6)")
-    stored = lambda df, c, level: df.select("rel", "batch", F.lit(c).alias("codec"), codecs.encoded(codecs.filtered(F.col("body"), f"delta{options.delta}") if options.delta else codecs.filtered(F.col("body"), "lzp") if options.lzp else F.col("body"), c, level).alias("body"))
+    body = F.coalesce("image", "body")
+    ready = codecs.filtered(body, f"delta{options.delta}") if options.delta else codecs.filtered(body, "lzp") if options.lzp else body
+    stored = lambda df, c, level: df.select("rel", "batch", "kind", F.lit(c).alias("codec"), codecs.encoded(ready, c, level, dictionary=dictionary).alias("body"))
     stored(has_body.where("bucket <> 'media'"), "store" if options.store else codec, options.level).write.mode(mode).parquet(f"{path}/bodies")
     if options.route:
         stored(has_body.where("bucket = 'media'"), "store", 0).write.mode("append").parquet(f"{path}/bodies")
@@ -69,16 +88,29 @@ def _write(spark: SparkSession, entries: DataFrame, path: str, options: Options,
         chunking.recipes(chunks, spark.read.parquet(f"{path}/chunks")).write.mode(mode).parquet(f"{path}/recipes")
 
 
-def pack(entries: DataFrame, path: str, options: Options | None = None, hash_algo: str | None = "crc32", comment: str = "", selection: selectors.Selection | None = None) -> None:
+def pack(entries: DataFrame, path: str, options: Options | None = None, hash_algo: str | None = "crc32", comment: str = "", selection: selectors.Selection | None = None, dictionary: bool = False, done: Callable[[str, str], None] | None = None) -> None:
     """Write a new archive of entries with bodies (full, rel, kind, is_regular, size, mtime, mode, link_target, ext,
-    body), in place of what is there. Rows pass the selection first. xxh3 and blake3 are other digests; None is none."""
+    body), in place of what is there. Rows pass the selection first. xxh3 and blake3 are other digests; None is none. A dictionary
+    is trained for zstd if asked for. done(path, status) is called on the driver at the end, with ok or failed."""
+    try:
+        _pack(entries, path, options, hash_algo, comment, selection, dictionary)
+    except Exception:
+        if done:
+            done(path, "failed")
+        raise
+    if done:
+        done(path, "ok")
+
+
+def _pack(entries: DataFrame, path: str, options: Options | None, hash_algo: str | None, comment: str, selection: selectors.Selection | None, dictionary: bool) -> None:
     options = settings.checked(options or Options())
     spark = entries.sparkSession
     kept = selectors.select(entries, selection) if selection else entries
     made = f"{path}.tmp"
-    _write(spark, kept, made, options, hash_algo, 0, "overwrite")
+    words = trained(kept) if dictionary and settings.backend(options) == "zstd" else None
+    _write(spark, kept, made, options, hash_algo, 0, "overwrite", words)
     summary = inventory.scan_summary(kept).first().asDict(True)
-    meta = asdict(options) | {"backend": settings.backend(options), "hash_algo": hash_algo, "comment": comment, "preproc": None}
+    meta = asdict(options) | {"backend": settings.backend(options), "hash_algo": hash_algo, "comment": comment, "preproc": None, "dictionary": base64.b64encode(words).decode() if words else None}
     spark.createDataFrame([(0, json.dumps(meta), json.dumps(summary))], "batch int, settings string, summary string").coalesce(1).write.mode("overwrite").parquet(f"{made}/meta")
     _publish(spark, made, path)
 
@@ -96,12 +128,16 @@ def append(entries: DataFrame, path: str) -> int:
     names = Options.__dataclass_fields__
     options = Options(**{k: v for k, v in known.items() if k in names})
     batch = spark.read.parquet(f"{path}/meta").agg(F.max("batch")).first()[0] + 1
-    _write(spark, entries, path, options, known["hash_algo"], batch, "append")
+    _write(spark, entries, path, options, known["hash_algo"], batch, "append", _dictionary(known))
     summary = inventory.scan_summary(entries).first().asDict(True)
     spark.createDataFrame([(batch, json.dumps(known), json.dumps(summary))], "batch int, settings string, summary string").coalesce(1).write.mode("append").parquet(f"{path}/meta")
     return batch
 
 
+def _dictionary(known: dict) -> bytes | None:
+    return base64.b64decode(known["dictionary"]) if known.get("dictionary") else None
+
+
 def entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/entries")
 
@@ -110,11 +146,14 @@ def bodies(spark: SparkSession, path: str) -> DataFrame:
     """rel, batch and body of every entry that has one, as it was."""
     known = meta(spark, path)
     stored = spark.read.parquet(f"{path}/bodies")
-    plain = stored.where("codec = 'store'").select("rel", "batch", "body")
-    for codec in ("zstd", "lzma"):
-        plain = plain.unionByName(stored.where(F.col("codec") == codec).select("rel", "batch", codecs.decoded(F.col("body"), codec).alias("body")))
+    read = lambda codec, words: stored.where(F.col("codec") == codec).select("rel", "batch", "kind", codecs.decoded(F.col("body"), codec, words).alias("body"))
+    plain = read("store", None).unionByName(read("zstd", _dictionary(known))).unionByName(read("lzma", None))
     if known.get("delta") or known.get("lzp"):
         plain = plain.withColumn("body", codecs.unfiltered(F.col("body"), f"delta{known['delta']}" if known.get("delta") else "lzp"))
+    for kind, (_, decode) in codecs.RECOMPRESSORS.items():
+        number = fixed.ENTRY_KINDS[kind]
+        plain = plain.where(F.col("kind") != number).unionByName(plain.where(F.col("kind") == number).withColumn("body", codecs.applied(F.col("body"), decode)))
+    plain = plain.drop("kind")
     if known.get("chunked"):
         whole = chunking.reassembled(spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks"))
         plain = plain.unionByName(whole.select(F.col("path").alias("rel"), F.lit(0).alias("batch"), "body"))
@@ -160,7 +199,12 @@ def extract(spark: SparkSession, path: str, dest: str) -> int:
     if bad:
         raise ValueError(f"unsafe path: {bad.rel}")
 
-    def restore(target: str, mode: int | None, mtime: int | None) -> None:
+    def restore(target: str, mode: int | None, mtime: int | None, xattrs: list | None = None) -> None:
+        for x in xattrs or []:
+            try:
+                os.setxattr(target, bytes(x.name), bytes(x.value))
+            except (AttributeError, OSError):
+                pass  # as far as it goes
         try:
             if mode is not None:
                 os.chmod(target, mode)
@@ -176,7 +220,7 @@ def extract(spark: SparkSession, path: str, dest: str) -> int:
             part = f"{target}.{os.getpid()}.part"
             with open(part, "wb") as f:
                 f.write(r.body or b"")
-            restore(part, r.mode, r.mtime)
+            restore(part, r.mode, r.mtime, r.xattrs)
             os.replace(part, target)
 
     def folders(rows) -> None:
@@ -196,12 +240,12 @@ def extract(spark: SparkSession, path: str, dest: str) -> int:
 
     def finish(rows) -> None:
         for r in rows:
-            restore(os.path.join(dest, r.rel), r.mode, r.mtime)
+            restore(os.path.join(dest, r.rel), r.mode, r.mtime, r.xattrs)
 
     every.where("kind = 1").select("rel").foreachPartition(folders)
     # of one path in several batches the last stays
     latest = every.where("kind IN (0, 4, 5, 6)").groupBy("rel").agg(F.max("batch").alias("batch"))
-    every.join(latest, ["rel", "batch"]).join(bodies(spark, path), ["rel", "batch"]).select("rel", "mode", "mtime", "body").foreachPartition(files)
+    every.join(latest, ["rel", "batch"]).join(bodies(spark, path), ["rel", "batch"]).select("rel", "mode", "mtime", "xattrs", "body").foreachPartition(files)
     every.where("kind IN (2, 3)").select("rel", "kind", "link_target").foreachPartition(links)
-    every.where("kind = 1").select("rel", "mode", "mtime").foreachPartition(finish)
+    every.where("kind = 1").select("rel", "mode", "mtime", "xattrs").foreachPartition(finish)
     return every.count()

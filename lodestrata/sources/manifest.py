@@ -15,18 +15,26 @@ from pyspark.sql import types as T
 
 from ..functions import digests, scalars
 
-SCHEMA = "full string, rel string, kind int, is_regular boolean, size long, mtime long, mode long, link_target string"
+SCHEMA = "full string, rel string, kind int, is_regular boolean, size long, mtime long, mode long, link_target string, xattrs array<struct<name:binary,value:binary>>"
 #: Bytes of an entry up to which a body is read into one cell.
 LARGEST = 1 << 30
 
 
+def extended(path: str) -> list[tuple[bytes, bytes]]:
+    """Extended attributes, by name; none where the system has none."""
+    try:
+        return sorted((os.fsencode(n), os.getxattr(path, n, follow_symlinks=False)) for n in os.listxattr(path, follow_symlinks=False))
+    except (AttributeError, OSError):
+        return []
+
+
 def _entry(full: str, rel: str) -> tuple:
     try:
         st = os.lstat(full)
     except OSError:
-        return full, rel.replace("\\", "/"), 0, False, None, None, None, ""
+        return full, rel.replace("\\", "/"), 0, False, None, None, None, "", []
     link, folder = stat.S_ISLNK(st.st_mode), stat.S_ISDIR(st.st_mode)
-    return full, rel.replace("\\", "/"), 2 if link else 1 if folder else 0, stat.S_ISREG(st.st_mode), 0 if link or folder else st.st_size, int(st.st_mtime // 1), stat.S_IMODE(st.st_mode), os.readlink(full) if link else ""
+    return full, rel.replace("\\", "/"), 2 if link else 1 if folder else 0, stat.S_ISREG(st.st_mode), 0 if link or folder else st.st_size, int(st.st_mtime // 1), stat.S_IMODE(st.st_mode), os.readlink(full) if link else "", extended(full)
 
 
 def _walk(root: str, under: str) -> Iterator[tuple]:

@@ -183,6 +183,36 @@ def test_archive_append_and_verify(spark, tree, tmp_path):
         archive.append(manifest.with_bodies(manifest.manifest(spark, [str(more)])), path)
 
 
+def test_attributes_images_and_dictionaries(spark, tree, tmp_path):
+    from lodestrata.functions import codecs
+
+    (tree / "real.jpg").write_bytes(b"\xff\xd8" + b"picture" * 50)
+    (tree / "bad.png").write_bytes(b"\x89PNG" + b"broken" * 50)
+    for i in range(40):
+        (tree / f"r{i}.log").write_bytes((b"record %d: the quick brown fox jumps %d times\n" % (i, i * i)) * 900)
+    try:
+        os.setxattr(tree / "hello.txt", "user.test", b"value")
+        has_attributes = True
+    except OSError:
+        has_attributes = False
+    path, out, said = f"file://{tmp_path}/archive", tmp_path / "out", []
+
+    def broken(b):
+        raise ValueError("no")
+
+    codecs.RECOMPRESSORS.update(jpeg=(lambda b: b[::-1], lambda b: b[::-1]), png=(broken, lambda b: b))
+    try:
+        archive.pack(manifest.with_bodies(manifest.manifest(spark, [str(tree)])), path, dictionary=True, done=lambda *a: said.append(a))
+        assert {r.rel: r.kind for r in archive.entries(spark, path).where("rel LIKE '%real.jpg' OR rel LIKE '%bad.png'").collect()} == {"src/real.jpg": 5, "src/bad.png": 0}
+        assert archive.meta(spark, path)["dictionary"] and said == [(path, "ok")] and archive.test(spark, path).first().failed == 0
+        out.mkdir()
+        archive.extract(spark, path, str(out))
+    finally:
+        codecs.RECOMPRESSORS.clear()
+    assert same_tree(tree, out / "src")
+    assert not has_attributes or os.getxattr(out / "src/hello.txt", "user.test") == b"value"
+
+
 def test_unsafe_paths_are_not_extracted(spark, tmp_path):
     rows = [("../evil", "/x", 0, True, 1, 0, "", 420, "", b"x")]
     df = spark.createDataFrame(rows, ENTRY + ", mode long, link_target string, body binary")
