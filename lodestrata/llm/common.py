@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; temporaries are about 30 times as large.
 SLICE_BYTES = 2 << 20
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,7 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lodestrata/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application's operators have written to shared storage. Frames that are not yet read, and media
+    shards under the default folder, are lost with it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
@@ -50,6 +61,23 @@ def wanted(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(df[f"`{name}`"].cast(kind).alias(name) for name, kind in types.items()))
 
 
+def kept(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, whose text passes; keep takes a batch's texts. Rows stay where they are:
+    no join, no shuffle, and rows that share an id, or have none, are judged one by one."""
+    place = docs.columns.index("text")
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(place)), pa.bool_()))
+
+    return docs.mapInArrow(filtered, docs.schema)
+
+
+def small(df: DataFrame, most: int = 250_000) -> DataFrame:
+    """The frame, to be broadcast if it has no more rows than that; for written tables, whose count is cheap."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def text_slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Consecutive rows as (first row, bytes, offsets of length rows + 1). Null texts have no bytes.
     A slice holds at most `rows` rows, and at most `most` bytes unless a single row is longer."""

@@ -106,17 +106,50 @@ def _chunks(benchmark: DataFrame, base: str, window: int, shingle: int) -> list[
     return sorted(r.path for r in items.mapInArrow(write, "path string").collect())
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch with its slices tokenised once."""
-    for batch in batches:
-        yield batch, [(first, len(offsets) - 1, *common.words(data, offsets, TABLE)[2:]) for first, data, offsets in common.text_slices(batch.column(1))]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids whose windows occur,
-    each once, ascending). Null or word-less texts have zeros and no items; so has every document if no item has words.
-    Repeated rows give repeated results; a null doc_id stays null; other columns are ignored.
-    Words are compared by 64-bit hashes of their folded bytes."""
+def _tokenised(texts: pa.Array) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a batch: first row, rows, and each word's row and hash."""
+    return [(first, len(offsets) - 1, *common.words(data, offsets, TABLE)[2:]) for first, data, offsets in common.text_slices(texts)]
+
+
+def _matched(texts: pa.Array, indexed: list[str], window: int) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+    """For each text: its words, its words that are hit, and the items whose windows occur."""
+    slices = _tokenised(texts)
+    n_words, n_hit = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    items: list[set[int]] = [set() for _ in range(len(texts))]
+    marks = [np.zeros(len(h) + 1, np.int64) for *_, h in slices]
+    for path in indexed:
+        chunk = _load(path)
+        for (first, _, row, h), mark in zip(slices, marks, strict=True):
+            for n in np.unique(chunk["width"]):
+                values, head = common.shingles(h, row, int(n))
+                got, at = _among(values, chunk["key"], chunk["sieve"])
+                while len(got):
+                    start = head[got] - chunk["back"][at]
+                    size = chunk["size"][at]
+                    fits = (chunk["width"][at] == n) & (start >= 0) & (start + size <= len(h))
+                    fits[fits] &= row[start[fits]] == row[start[fits] + size[fits] - 1]
+                    s, a, z = start[fits], at[fits], size[fits]
+                    same = np.ones(len(s), bool)
+                    for k in range(window):
+                        there = k < z
+                        same &= ~there | (h[np.minimum(s + k, len(h) - 1)] == chunk["words"][a, k])
+                    np.add.at(mark, s[same], 1)
+                    np.add.at(mark, s[same] + z[same], -1)
+                    for r, item in set(zip((row[s[same]] + first).tolist(), chunk["item"][a[same]].tolist(), strict=True)):
+                        items[r].add(item)
+                    at = at + 1  # further windows under the same key
+                    more = at < len(chunk["key"])
+                    got, at = got[more], at[more]
+                    more = chunk["key"][at] == values[got]
+                    got, at = got[more], at[more]
+    for (first, n, row, _), mark in zip(slices, marks, strict=True):
+        n_words[first : first + n] = np.bincount(row, minlength=n)
+        n_hit[first : first + n] = np.bincount(row[np.cumsum(mark[:-1]) > 0], minlength=n)
+    return n_words, n_hit, items
+
+
+def index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> list[str]:
+    """Build the index of a benchmark's windows, each under its shingle that is rarest in docs: paths of its files."""
     spark = docs.sparkSession
     base = common.fresh_path(spark, "benchmark")
     rows = common.wanted(docs, doc_id="long", text="string")
@@ -125,7 +158,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often each shingle of the windows occurs, for one part of the documents."""
         sums: dict[str, np.ndarray] = {}
-        for _, slices in _batches(batches):
+        for batch in batches:
+            slices = _tokenised(batch.column(1))
             for path in paths:
                 chunk = _load(path)
                 keys = np.unique(chunk["shingles"][chunk["shingles"] != 0])
@@ -143,7 +177,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     counted = rows.mapInArrow(count, "shingle long, path string, n long").groupBy("path", "shingle").agg(F.sum("n").alias("n"))
 
-    def index(path: str, shingle_counts: tuple[np.ndarray, np.ndarray]) -> str:
+    def indexed(path: str, shingle_counts: tuple[np.ndarray, np.ndarray]) -> str:
         chunk = _load(path)
         known, n = shingle_counts
         order = np.argsort(known)
@@ -164,52 +198,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
         path = pdf["path"].iloc[0]
         own = pdf[pdf["n"] > 0]
-        return pd.DataFrame({"path": [index(path, (own["shingle"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)))]})
+        return pd.DataFrame({"path": [indexed(path, (own["shingle"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)))]})
 
     # a group is one file of the index, so its size is bounded
     every = spark.createDataFrame([(p,) for p in paths], "path string").selectExpr("path", "cast(0 AS long) shingle", "cast(0 AS long) n") if paths else None
-    indexed = sorted(r.path for r in counted.unionByName(every).groupBy("path").applyInPandas(build, "path string").collect()) if paths else []
+    return sorted(r.path for r in counted.unionByName(every).groupBy("path").applyInPandas(build, "path string").collect()) if paths else []
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids whose windows occur,
+    each once, ascending). Null or word-less texts have zeros and no items; so has every document if no item has words.
+    Repeated rows give repeated results; a null doc_id stays null; other columns are ignored.
+    Words are compared by 64-bit hashes of their folded bytes."""
+    indexed = index(docs, benchmark, window, shingle)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, slices in _batches(batches):
-            n_words, n_hit = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            items: list[set[int]] = [set() for _ in range(len(batch))]
-            marks = [np.zeros(len(h) + 1, np.int64) for *_, h in slices]
-            for path in indexed:
-                chunk = _load(path)
-                for (first, _, row, h), mark in zip(slices, marks, strict=True):
-                    for n in np.unique(chunk["width"]):
-                        values, head = common.shingles(h, row, int(n))
-                        got, at = _among(values, chunk["key"], chunk["sieve"])
-                        while len(got):
-                            start = head[got] - chunk["back"][at]
-                            size = chunk["size"][at]
-                            fits = (chunk["width"][at] == n) & (start >= 0) & (start + size <= len(h))
-                            fits[fits] &= row[start[fits]] == row[start[fits] + size[fits] - 1]
-                            s, a, z = start[fits], at[fits], size[fits]
-                            same = np.ones(len(s), bool)
-                            for k in range(window):
-                                there = k < z
-                                same &= ~there | (h[np.minimum(s + k, len(h) - 1)] == chunk["words"][a, k])
-                            np.add.at(mark, s[same], 1)
-                            np.add.at(mark, s[same] + z[same], -1)
-                            for r, item in set(zip((row[s[same]] + first).tolist(), chunk["item"][a[same]].tolist(), strict=True)):
-                                items[r].add(item)
-                            at = at + 1  # further windows under the same key
-                            more = at < len(chunk["key"])
-                            got, at = got[more], at[more]
-                            more = chunk["key"][at] == values[got]
-                            got, at = got[more], at[more]
-            for (first, n, row, _), mark in zip(slices, marks, strict=True):
-                n_words[first : first + n] = np.bincount(row, minlength=n)
-                n_hit[first : first + n] = np.bincount(row[np.cumsum(mark[:-1]) > 0], minlength=n)
+        for batch in batches:
+            n_words, n_hit, items = _matched(batch.column(1), indexed, window)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["doc_id", "n_words", "n_hit", "items"])
 
-    return rows.mapInArrow(match, SCHEMA)
+    return common.wanted(docs, doc_id="long", text="string").mapInArrow(match, SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with their columns; rows that share a
-    doc_id stay or go together, and rows without one stay."""
-    hit = decontaminate(docs, benchmark).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """The documents without any occurrence of a benchmark window, with their columns; each row is judged by its text."""
+    indexed = index(docs, benchmark)
+    return common.kept(docs, lambda texts: _matched(texts, indexed, WINDOW)[1] == 0)

@@ -27,11 +27,9 @@ from . import common
 from .components import components
 
 #: N-grams of one chunk of a block, forest entries that a task ties at once, and ids of block members to broadcast.
-CHUNK, TIED, BROADCAST = 1 << 19, 2 << 20, 250_000
+CHUNK, TIED, BROADCAST = 1 << 21, 2 << 20, 250_000
 #: Sizes of one class differ by this factor at most; each class has its own arcs.
 CLASS = 1.5
-#: Arcs beyond those needed. A set emits its empty arcs only if it has more of them than this.
-SPARE = 1
 TABLE = common.fold_table(bytes([0x20, *range(0x09, 0x0E)]))
 
 _U = np.uint64
@@ -43,6 +41,15 @@ def max_difference(a: int, percent: int) -> int:
     return (a + a * 100 // percent) * (100 - percent) // (100 + percent)
 
 
+def arcs_of(most: int, largest: int) -> int:
+    """Arcs for sets of up to `largest` n-grams that differ in at most `most`: one more than can differ, and spare ones,
+    so that a set hardly ever has as many empty arcs as would have to be stored."""
+    if not most:
+        return 1
+    empty = (most + 1) * float(np.exp(-largest / (most + 1)))
+    return most + 1 + int(np.ceil(empty + 4 * empty**0.5 + 1))
+
+
 def size_classes(largest: int) -> np.ndarray:
     """The least size of each class, up to the class of `largest`."""
     out = [1]
@@ -84,14 +91,16 @@ def tree_nodes(own: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray
     top = int(np.searchsorted(classes, n, side="right")) - 1
     low = int(np.searchsorted(classes, -(-percent * n // 100), side="right")) - 1
     for c in range(low, top + 1):
-        most = max_difference(int(classes[c + 1]) - 1, percent)
+        largest = int(classes[c + 1]) - 1
         of_class = _U((c + 1) * 0xD1B54A32D192ED03 % (1 << 64))
-        arcs = most + 1 + (SPARE if most else 0)
+        arcs = arcs_of(max_difference(largest, percent), largest)
         arc = ((own >> _U(32)) * _U(arcs)) >> _U(32)
         heads = np.flatnonzero(np.concatenate([[True], arc[1:] != arc[:-1]]))
         path = np.add.reduceat(common.mixed(own + _U(1)), heads)
         out.append(common.mixed(path + arc[heads] * _U(0x632BE59BD9B4E019) + of_class))
-        if arcs - len(heads) > SPARE:
+        # a pair shares arcs - difference whole arcs at least; all can be empty only if this set has so many empty ones
+        own_most = max_difference(n, percent) if c == top else (largest + n) * (100 - percent) // (100 + percent)
+        if arcs - len(heads) >= arcs - own_most:
             empty = np.setdiff1d(np.arange(arcs, dtype=_U), arc[heads])
             out.append(common.mixed(empty * _U(0x632BE59BD9B4E019) + of_class))
     return np.concatenate(out)
@@ -174,8 +183,52 @@ class Trie:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def parts(sets: list[np.ndarray], percent: int) -> list[list[int]]:
+    """The sets in parts that no link leaves. Two sets that link share an n-gram among the first of each, under any order
+    that both follow; here it is that of rarity within the block, so common n-grams hardly ever tie sets together."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by = np.argsort(flat, kind="stable")
+    head = np.concatenate([[True], flat[by][1:] != flat[by][:-1]])
+    rank = np.cumsum(head) - 1
+    token = np.empty(len(flat), np.int64)
+    token[by] = rank
+    often = np.bincount(rank)[token]
+    order = np.lexsort((token, often, owner))
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - np.repeat(first, sizes)
+    prefix = order[place < np.repeat(sizes + (-percent * sizes) // 100 + 1, sizes)]
+    prefix = prefix[often[prefix] > 1]
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    prefix = prefix[np.argsort(token[prefix], kind="stable")]
+    same = token[prefix][1:] == token[prefix][:-1]
+    for a, b in zip(owner[prefix][:-1][same].tolist(), owner[prefix][1:][same].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    found: dict[int, list[int]] = {}
+    for k in range(len(sets)):
+        found.setdefault(find(k), []).append(k)
+    return list(found.values())
+
+
 def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """All pairs of distinct sets that link."""
+    if len(sets) > 2:
+        each = parts(sets, percent)
+        if len(each) > 1:
+            return [(own[i], own[j]) for own in each if len(own) > 1 for i, j in _part_links([sets[k] for k in own], percent)]
+    return _part_links(sets, percent)
+
+
+def _part_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     if len(sets) == 2:
         a, b = sets
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -331,5 +384,5 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents with the least doc_id of their component, with their columns; rows that share a
     doc_id stay or go together, and rows without one stay."""
-    gone = ngram_join(docs, n, percent).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    gone = common.settled(ngram_join(docs, n, percent).where("component_id <> doc_id").select("doc_id"), "gone")
+    return docs.join(common.small(gone), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))

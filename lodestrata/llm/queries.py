@@ -32,7 +32,8 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    found = secrets.scan(docs, repository="repository", owner="source")
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spelled("base").cast("binary"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"), F.size("live").cast("long").alias("n_live"), "n_examples")
 

@@ -143,7 +143,7 @@ def masked(docs: DataFrame, repository: str = "source", owner: str = "source", m
     wider = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc).start.alias("start"), F.greatest(last(acc).end, s.end).alias("end"))))
     merged = F.aggregate("live", none, lambda acc, s: F.when((F.size(acc) > 0) & (s.start < F.try_element_at(acc, F.lit(-1)).end), wider(acc, s)).otherwise(apart(acc, s)))
     live = common.settled(scan(docs, repository, owner).where(F.size("live") > 0).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), merged.alias(spans)).distinct(), "live")
-    joined = docs.join(live, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    joined = docs.join(common.small(live), F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text_hash)), "left")
     starts, ends = F.concat(F.array(F.lit(0).cast("long")), F.col(f"{spans}.end")), F.concat(F.col(f"{spans}.start"), F.array(F.length("text").cast("long")))
     pieces = F.zip_with(starts, ends, lambda a, z: F.substring(F.col("text"), a.cast("int") + 1, (z - a).cast("int")))
     less = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start - len(mask))

@@ -1,7 +1,8 @@
 """The stages of the pipeline: (spark, docs, sf_dir) -> documents, the last one with pieces.
 
-Each stage asks for distinct doc_ids, which `documents` has and every stage keeps, and works on all rows it is given.
-Null and empty texts pass the first four stages unchanged, as single documents.
+Each stage works on all rows it is given. Toxicity and decontamination judge each row by its own text, in place; near
+duplicates go by doc_id, so rows that share one stay or go together. Null and empty texts pass the first four stages
+unchanged, as single documents; extra columns pass them too.
 """
 
 from __future__ import annotations

@@ -290,6 +290,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(words, stems, logistic(np.repeat(np.array([r.x for r in rows]), times, axis=0), np.repeat(np.array([float(r.toxic) for r in rows]), times)))
 
 
+def _probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, score (0 to 1), n_exact, n_stem, n_fuzzy (sums of context weights), n_quoted (hits in
     quotation). Null and empty texts, and those without a hit, get the model's score for no hit. Repeated rows give
@@ -301,7 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         auto, weights = held.value
         for batch in batches:
             x = features(auto, batch.column(1))
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+            p = _probability(x, weights)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), *(pa.array(np.expm1(x[:, k])) for k in range(4))], names=schema.names)
 
     return common.wanted(docs, doc_id="long", text="string").mapInArrow(scored, schema)
@@ -320,7 +324,12 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tolerable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns; rows that share a
-    doc_id stay or go together, and rows without one stay."""
-    gone = predict(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    """The documents that are not predicted toxic, with their columns; each row is judged by its own text."""
+    model = train(docs, labels.where(~held_out(F.col("doc_id"))))
+    held = docs.sparkSession.sparkContext.broadcast((automaton(model.words, model.stems), model.weights))
+
+    def fine(texts: pa.Array) -> np.ndarray:
+        auto, weights = held.value
+        return _probability(features(auto, texts), weights) < 0.5
+
+    return common.kept(docs, fine)
