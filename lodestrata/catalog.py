@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from .functions import codecs, digests, filters, scalars
 from .operators import chunking, compare, dedup, heuristics, inventory, ordering, selectors
+from .functions import fixed, settings
+from .functions.settings import Options
+from .plans import archive
 from .plans.corpus import CORPUS_SQL, corpus
+from .plans.storage import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -523,3 +527,61 @@ def c1_codec_ratios(spark, sf_dir):
     each = [inventory.archive_totals(rows.withColumn("stored_size", F.octet_length(codecs.encoded(F.col("body"), c, n)))).withColumn("codec", F.lit(f"{c}-{n}")) for c, n in (("store", 0), ("zstd", 1), ("zstd", 3))]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
+
+# --- archives and options ---
+
+
+def _packable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as entries of an archive; null texts are empty files."""
+    rows = corpus(spark, sf_dir).withColumn("body", F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("full", "rel", "kind", "is_regular", "size", "mtime", F.lit(0o644).alias("mode"), F.lit("").alias("link_target"), "ext", "body", "doc_id")
+
+
+@query(f"WITH {CORPUS_SQL}, {_DUPS} SELECT rel, CASE WHEN place > 1 THEN 3 ELSE 0 END AS kind, CASE WHEN place > 1 THEN 0 ELSE size END AS size, CASE WHEN place > 1 THEN canonical_rel ELSE '' END AS link_target, mtime FROM dups UNION ALL SELECT rel, 0, size, '', mtime FROM corpus WHERE size = 0")
+def k1_pack_and_list(spark, sf_dir):
+    """An archive is written and its entries are listed."""
+    path = shared_path(spark, "archive")
+    archive.pack(_packable(spark, sf_dir), path, Options(level=1))
+    return archive.listing(spark, path).select("rel", "kind", "size", "link_target", "mtime")
+
+
+@query("""SELECT count(*) AS entries, count(*) FILTER (WHERE NOT link) AS verified, CAST(0 AS BIGINT) AS failed, CAST(sum(size) FILTER (WHERE NOT link) AS BIGINT) AS bytes, '' AS failed_paths, CAST(0 AS BIGINT) AS more
+FROM (SELECT size, size > 0 AND row_number() OVER (PARTITION BY doc_id % 3 = 0, size, md5(text) ORDER BY rel) > 1 AS link FROM corpus)""")
+def k4_append_and_test(spark, sf_dir):
+    """A third of the corpus is packed, the rest appended, and all bodies are checked."""
+    path, every = shared_path(spark, "archive"), _packable(spark, sf_dir)
+    archive.pack(every.where("doc_id % 3 = 0"), path, Options(level=1), "xxh3")
+    archive.append(every.where("doc_id % 3 <> 0"), path)
+    tally = archive.test(spark, path)
+    return tally.withColumn("failed_paths", F.array_join("failed_paths", ",")).withColumn("more", F.col("more").cast("long"))
+
+
+@query(f"WITH {CORPUS_SQL}, dups AS ({_dups_within(_BUCKET, 'bucket')}) SELECT rel, md5(coalesce(text, '')) AS digest FROM corpus WHERE rel NOT IN (SELECT rel FROM dups)")
+def s6_archive_bodies(spark, sf_dir):
+    """Bodies read from a routed archive."""
+    path = shared_path(spark, "archive")
+    archive.pack(_packable(spark, sf_dir), path, Options(level=3, route=True), comment="routed")
+    return archive.bodies(spark, path).select("rel", F.md5("body").alias("digest"))
+
+
+@query("WITH x AS (SELECT 1) SELECT * FROM (VALUES ('size', '10', 10), ('size', '1.5k', 1536), ('size', '2KiB', 2048), ('size', '3MB', 3145728), ('size', '1T', 1099511627776), ('date', '1584286200', 1584286200), ('date', '2020-03-15', 1584230400), ('date', '1969-12-31', -86400), ('date', '2021-02-31', 1614729600)) AS v(what, given, value)")
+def x7_x8_parsers(spark, sf_dir):
+    sizes, dates = ["10", "1.5k", "2KiB", "3MB", "1T"], ["1584286200", "2020-03-15", "1969-12-31", "2021-02-31"]
+    return spark.createDataFrame([("size", s, scalars.parse_size(s)) for s in sizes] + [("date", d, scalars.parse_date(d)) for d in dates], "what string, given string, value long")
+
+
+@query("WITH x AS (SELECT 1) SELECT * FROM (VALUES (0, -5, 'zstd', 16, 256), (1, 1, 'zstd', 16, 256), (2, 9, 'zstd', 16, 256), (3, 15, 'zstd', 16, 256), (4, 19, 'zstd', 16, 256), (5, 9, 'lzma', 16, 256), (6, 9, 'lzma', 16, 256), (7, 9, 'lzma', 8, 128), (8, 9, 'lzma', 10, 192), (9, 9, 'lzma', 12, 192), (10, 9, 'lzma', 16, 256)) AS v(level, zstd, backend, ppmd_order, ppmd_mb)")
+def x20_x22_levels(spark, sf_dir):
+    return spark.createDataFrame([(n, settings.zstd_level(n), settings.backend(Options(level=n)), *settings.ppmd_settings(n)) for n in range(11)], "level int, zstd int, backend string, ppmd_order int, ppmd_mb int")
+
+
+@query("WITH x AS (SELECT 1) SELECT * FROM (VALUES ('none', 'crc32'), ('crc', 'crc32'), ('CRC32', 'crc32'), ('xxhash3', 'xxh3'), ('XXH3', 'xxh3'), ('b3', 'blake3'), ('blake3', 'blake3')) AS v(given, hash)")
+def x19_hash_names(spark, sf_dir):
+    return spark.createDataFrame([(g or "none", scalars.hash_name(g)) for g in (None, "crc", "CRC32", "xxhash3", "XXH3", "b3", "blake3")], "given string, hash string")
+
+
+@query()
+def t12_branch_filters(spark, sf_dir):
+    """Bytes of bodies under each branch filter of the strongest codec; all read back."""
+    rows = _volumes(spark, sf_dir)
+    return rows.select("rel", *((F.md5(codecs.decoded(codecs.encoded(F.col("body"), "lzma", 5, b), "lzma")) == F.md5("body")).alias(b) for b in fixed.BRANCH_FILTERS))

@@ -52,8 +52,13 @@ def test_text_heuristic(spark):
 
 
 def test_digests(spark):
-    bodies = [b"", b"abc", b"hello " * 500]
-    for r in spark.createDataFrame([(b,) for b in bodies], "b binary").select("b", digests.xxh3("b").alias("x"), digests.crc32(F.col("b")).alias("c"), digests.blake3_digest("b").alias("k"), digests.trailer(F.col("b"), "crc32").alias("t"), digests.trailer(F.col("b"), "xxh3").alias("u")).collect():
+    bodies = [b"", None, b"abc", b"hello " * 500]
+    rows = spark.createDataFrame([(b,) for b in bodies], "b binary").coalesce(1)  # nulls beside numbers
+    assert rows.where("b IS NULL").select(digests.xxh3("b").alias("x")).first().x is None
+    for r in rows.select("b", digests.xxh3("b").alias("x"), digests.crc32(F.col("b")).alias("c"), digests.blake3_digest("b").alias("k"), digests.trailer(F.col("b"), "crc32").alias("t"), digests.trailer(F.col("b"), "xxh3").alias("u")).collect():
+        if r.b is None:
+            assert r.x is None and r.k is None
+            continue
         b = bytes(r.b)
         assert r.x % 2**64 == xxhash.xxh3_64_intdigest(b) and r.c == zlib.crc32(b)
         assert bytes(r.t) == struct.pack("<I", zlib.crc32(b)) and bytes(r.u) == struct.pack("<Q", xxhash.xxh3_64_intdigest(b))
