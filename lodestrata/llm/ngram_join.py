@@ -4,8 +4,8 @@ Sets are kept in one global order, that of their n-grams' hashes. Two sets of si
 D = (a + b) (100 - p) / (100 + p) n-grams. The order is cut into more than D arcs, and the sets are stored in a forest
 with one tree for each arc: the path below the root of tree i is a set's n-grams of arc i. Two sets that link share the
 whole path of some arc, so they meet in one node there. The forest's nodes are dealt out by the hash of their path, in
-one shuffle, after each task has tied the sets that it sees in a node to the least of them; only a node's least set of
-each task travels. Sets that meet anywhere fall into one block (the components of "meet"). Within a block the sets are
+one shuffle. Nodes that very many sets share, such as those of a passage which many documents quote, are left out where
+a set has nodes to spare; where it has not, each task has tied the sets that it sees in such a node to the least of them. Sets that meet anywhere fall into one block (the components of "meet"). Within a block the sets are
 stored in a trie, and each is joined by one traversal that shares the overlap of common paths and prunes subtrees by
 the bounds on their sets' sizes and remaining lengths; the overlap at a leaf is exact.
 
@@ -28,6 +28,8 @@ from .components import components
 
 #: N-grams of one chunk of a block, forest entries that a task ties at once, and ids of block members to broadcast.
 CHUNK, TIED, BROADCAST = 1 << 21, 2 << 20, 250_000
+#: Sets from which a node is hot.
+HOT = 12
 #: Sizes of one class differ by this factor at most; each class has its own arcs.
 CLASS = 1.5
 TABLE = common.fold_table(bytes([0x20, *range(0x09, 0x0E)]))
@@ -83,9 +85,10 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(own.sum(dtype=_U).view(np.int64)), int(common.mixed(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64))
 
 
-def tree_nodes(own: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
-    """The forest's nodes that hold a set, as hashes: one for each arc of its size's class and of those smaller classes
-    in which it may have partners."""
+def tree_nodes(own: np.ndarray, percent: int, classes: np.ndarray) -> list[tuple[int, np.ndarray, int]]:
+    """The forest's nodes that hold a set: for its size's class, and those smaller ones in which it may have partners,
+    the class, a hash for each arc that is not empty, and how many of these arcs can be left out. With a partner it
+    shares arcs - difference whole arcs at least; left out may be fewer than these less the empty ones."""
     n = len(own)
     out = []
     top = int(np.searchsorted(classes, n, side="right")) - 1
@@ -97,13 +100,14 @@ def tree_nodes(own: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray
         arc = ((own >> _U(32)) * _U(arcs)) >> _U(32)
         heads = np.flatnonzero(np.concatenate([[True], arc[1:] != arc[:-1]]))
         path = np.add.reduceat(common.mixed(own + _U(1)), heads)
-        out.append(common.mixed(path + arc[heads] * _U(0x632BE59BD9B4E019) + of_class))
-        # a pair shares arcs - difference whole arcs at least; all can be empty only if this set has so many empty ones
+        nodes = common.mixed(path + arc[heads] * _U(0x632BE59BD9B4E019) + of_class)
         own_most = max_difference(n, percent) if c == top else (largest + n) * (100 - percent) // (100 + percent)
-        if arcs - len(heads) >= arcs - own_most:
+        spare = len(heads) - own_most
+        if spare <= 0:  # all shared arcs may be empty, so the empty ones are stored too
             empty = np.setdiff1d(np.arange(arcs, dtype=_U), arc[heads])
-            out.append(common.mixed(empty * _U(0x632BE59BD9B4E019) + of_class))
-    return np.concatenate(out)
+            nodes = np.concatenate([nodes, common.mixed(empty * _U(0x632BE59BD9B4E019) + of_class)])
+        out.append((c, nodes, spare))
+    return out
 
 
 class Trie:
@@ -238,24 +242,29 @@ def _part_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, id, tied): a set in a node; tied is set where a task has already tied it to a lesser id."""
+    """(node, id, tied, times, form, spare): a set in a node. Where a task sees HOT sets or more in a node, all but the
+    least are tied to it there and then, under keys of their own, and the least stands for `times` sets."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        seen: dict[tuple[int, int], int] = {}
+        parts_: list[tuple[np.ndarray, int, int, int]] = []
+        seen: set[tuple[int, int]] = set()
         classes = size_classes(1024)
 
         def flush() -> pa.RecordBatch:
-            node, own = np.concatenate(nodes), np.concatenate(ids)
+            length = np.array([len(x[0]) for x in parts_])
+            node = np.concatenate([x[0] for x in parts_])
+            own, form, spare = (np.repeat(np.array([x[k] for x in parts_], np.int64), length) for k in (1, 2, 3))
             by = np.lexsort((own, node))
-            node, own = node[by], own[by]
-            head = np.concatenate([[True], node[1:] != node[:-1]])
-            least = own[np.flatnonzero(head)][np.cumsum(head) - 1]
-            rest = ~head & (own != least)
-            pair = np.unique(np.stack([own[rest], least[rest]], axis=1), axis=0)
-            key = common.mixed(pair[:, 0].astype(_U) * _U(31) + pair[:, 1].astype(_U) + _U(7))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[head], key]).view(np.int64)), pa.array(np.concatenate([own[head], pair[:, 0]])), pa.array(np.concatenate([np.zeros(head.sum(), np.int64), pair[:, 1]]), mask=np.concatenate([np.ones(head.sum(), bool), np.zeros(len(pair), bool)]))], names=["node", "id", "tied"])
+            node, own, form, spare = node[by], own[by], form[by], spare[by]
+            head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            many = np.diff(np.concatenate([head, [len(node)]]))
+            least, count = np.repeat(own[head], many), np.repeat(many, many)
+            is_head = np.zeros(len(node), bool)
+            is_head[head] = True
+            tied = (count >= HOT) & ~is_head
+            key = np.where(tied, common.mixed(own.astype(_U) * _U(31) + node), node)
+            times = np.where((count >= HOT) & is_head, count, 1)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(least, mask=~tied), pa.array(times.astype(np.int32)), pa.array(form.astype(np.int16)), pa.array(spare.astype(np.int32))], names=["node", "id", "tied", "times", "form", "spare"])
 
         held = 0
         for batch in batches:
@@ -266,20 +275,31 @@ def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
                         continue
                     if len(own) >= classes[-1]:
                         classes = size_classes(len(own) * 2)
-                    me, twin = int(doc[first + k]), fingerprint(own)
+                    twin = fingerprint(own)
                     if twin in seen:  # equal sets are tied elsewhere
                         continue
-                    seen[twin] = me
-                    nodes.append(tree_nodes(own, percent, classes))
-                    ids.append(np.full(len(nodes[-1]), me, np.int64))
-                    held += len(nodes[-1])
+                    seen.add(twin)
+                    for form, nodes, spare in tree_nodes(own, percent, classes):
+                        parts_.append((nodes, int(doc[first + k]), form, spare))
+                        held += len(nodes)
                     if held >= TIED:
                         yield flush()
-                        nodes, ids, held = [], [], 0
-        if nodes:
+                        parts_, held = [], 0
+        if parts_:
             yield flush()
 
-    return rows.mapInArrow(emit, "node long, id long, tied long")
+    return rows.mapInArrow(emit, "node long, id long, tied long, times int, form short, spare int")
+
+
+def _meetings(forest: DataFrame) -> DataFrame:
+    """(u, v): sets that may link are tied together through these. A hot node, with HOT sets or more, is left out by a
+    set that has fewer hot nodes than it can spare: with any partner it then shares another node. Hot or not is the same
+    for both, so what both must keep stays."""
+    # a node's rows are bounded by HOT for each task
+    met = forest.selectExpr("id", "form", "spare", "coalesce(tied, min(id) OVER (PARTITION BY node)) AS root", "tied IS NOT NULL AS early", "sum(times) OVER (PARTITION BY node) AS sets")
+    met = met.where("early OR sets > 1").selectExpr("id", "form", "spare", "root", f"early OR sets >= {HOT} AS hot")
+    kept = met.selectExpr("id", "root", "hot", "spare", "count_if(hot) OVER (PARTITION BY id, form) AS n_hot").where("NOT hot OR n_hot >= spare")
+    return kept.where("id <> root").selectExpr("id AS u", "root AS v").distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -306,10 +326,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     classes = common.settled(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     copies = some.join(classes.where("copies > 1"), key).select("doc_id", *key, "rep")
 
-    forest = _forest(rows.where("doc_id IS NOT NULL"), n, percent)
-    # a node's rows are bounded by the number of tasks
-    least = forest.selectExpr("id AS u", "coalesce(tied, min(id) OVER (PARTITION BY node)) AS v")
-    meet = least.where("u <> v").distinct()
+    meet = _meetings(_forest(rows.where("doc_id IS NOT NULL"), n, percent))
     blocks = components(meet.unionByName(copies.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), "blocks")
 
     # only one document of each set goes on
