@@ -4,8 +4,8 @@ Sets are kept in one global order, that of their n-grams' hashes. Two sets of si
 D = (a + b) (100 - p) / (100 + p) n-grams. The order is cut into more than D arcs, and the sets are stored in a forest
 with one tree for each arc: the path below the root of tree i is a set's n-grams of arc i. Two sets that link share the
 whole path of some arc, so they meet in one node there. The forest's nodes are dealt out by the hash of their path, in
-one shuffle. Nodes that very many sets share, such as those of a passage which many documents quote, are left out where
-a set has nodes to spare; where it has not, each task has tied the sets that it sees in such a node to the least of them. Sets that meet anywhere fall into one block (the components of "meet"). Within a block the sets are
+one shuffle, after each task has tied the sets that it sees in a node to the least of them. A set that shares too few
+nodes, such as those of a passage which many documents quote, can have no partner and is left out there. Sets that meet anywhere fall into one block (the components of "meet"). Within a block the sets are
 stored in a trie, and each is joined by one traversal that shares the overlap of common paths and prunes subtrees by
 the bounds on their sets' sizes and remaining lengths; the overlap at a leaf is exact.
 
@@ -28,8 +28,9 @@ from .components import components
 
 #: N-grams of one chunk of a block, forest entries that a task ties at once, and ids of block members to broadcast.
 CHUNK, TIED, BROADCAST = 1 << 21, 2 << 20, 250_000
-#: Sets from which a node is hot.
-HOT = 12
+#: Sets from which a node is hot. With 2 every shared node is: a set that shares fewer nodes than it can spare with any
+#: others at all has no partner.
+HOT = 2
 #: Sizes of one class differ by this factor at most; each class has its own arcs.
 CLASS = 1.5
 TABLE = common.fold_table(bytes([0x20, *range(0x09, 0x0E)]))
