@@ -19,12 +19,25 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of ten times as many; texts can be long.
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it has set a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    bound_batches(spark)
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
@@ -65,6 +78,7 @@ def kept(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows of docs, with all their columns, whose text passes; keep takes a batch's texts. Rows stay where they are:
     no join, no shuffle, and rows that share an id, or have none, are judged one by one."""
     place = docs.columns.index("text")
+    bound_batches(docs.sparkSession)
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
