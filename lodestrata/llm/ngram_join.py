@@ -7,7 +7,7 @@ whole path of some arc, so they meet in one node there. The forest's nodes are d
 one shuffle, after each task has tied the sets that it sees in a node to the least of them. A set that shares too few
 nodes, such as those of a passage which many documents quote, can have no partner and is left out there. Sets that meet anywhere fall into one block (the components of "meet"). Within a block the sets are
 stored in a trie, and each is joined by one traversal that shares the overlap of common paths and prunes subtrees by
-the bounds on their sets' sizes and remaining lengths; the overlap at a leaf is exact.
+the bounds on their sets' sizes and remaining lengths; the overlap at the node where a set ends is exact.
 
 Equal sets are collapsed before that and counted, so groups of copies cost no pairs. Blocks of more than CHUNK n-grams
 are cut into chunks and joined chunk by chunk, in tasks of bounded size.
@@ -179,11 +179,11 @@ class Trie:
             sizes = np.clip(self.most[node], low, high)
             bound = overlap + np.minimum(left, sizes - self.depth[node])
             need = -(-percent * (a + np.clip(self.least[node], low, high)) // (100 + percent))
-            leaf = (self.first[node] == self.last[node]) & (self.depth[node] == self.sizes[self.first[node]])
-            own_leaf = leaf & (self.first[node] > after)
-            k, o = self.first[node[own_leaf]], overlap[own_leaf]
+            # a set ends in a leaf, or in an inner node where it is a prefix of the sets below
+            ends_here = (self.depth[node] == self.sizes[self.first[node]]) & (self.first[node] > after)
+            k, o = self.first[node[ends_here]], overlap[ends_here]
             found.append(k[(100 + percent) * o >= percent * (a + self.sizes[k])])
-            keep = ~leaf & (bound >= need)
+            keep = (self.first[node] < self.last[node]) & (bound >= need)
             node, overlap = node[keep], overlap[keep]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 

@@ -315,6 +315,23 @@ def test_trie_join_finds_all_pairs():
     assert got == {(i, j) for j in range(len(sets)) for i in range(j) if 180 * both(sets[i], sets[j]) >= 80 * (len(sets[i]) + len(sets[j]))} and len(got) > 50
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_trie_join_finds_sets_that_are_prefixes_of_others(percent):
+    sets = [np.array(x, np.uint64) for x in ([*range(1, 11)], [*range(1, 10), 11], [*range(1, 10), 11, 12])]
+    assert percent > 80 or set(ngram_join.block_links(sets, percent)) == {(0, 1), (1, 2)}
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 60, 40, dtype=np.uint64))
+    sets = [base[:k] for k in range(20, len(base) + 1)]  # each a prefix of the next
+    for own in sets[:]:
+        for _ in range(4):  # partners that sort before them, and behind
+            less = np.delete(own, rng.integers(0, len(own), 2))
+            sets += [less, np.unique(np.append(less, rng.integers(0, 1 << 60, 1, dtype=np.uint64)))]
+    sets = list({s.tobytes(): s for s in sets}.values())
+    got = [tuple(sorted(p)) for p in ngram_join.block_links(sets, percent)]
+    linked = lambda a, b: (100 + percent) * len(np.intersect1d(a, b)) >= percent * (len(a) + len(b))
+    assert len(got) == len(set(got)) > 50 and set(got) == {(i, j) for j in range(len(sets)) for i in range(j) if linked(sets[i], sets[j])}
+
+
 def test_ngram_join_of_odd_rows(odd, none):
     got = ngram_join.ngram_join(odd, 3, 90).collect()
     rows = rows_of(odd)
