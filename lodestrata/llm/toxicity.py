@@ -38,22 +38,41 @@ QUOTED, ADDRESSED = 0.35, 1.25
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "density")
 
 _WORD = re.compile(r"[^\W_]+")
-_TOP = 2048
+#: There are no letters or digits from here on, nor at the code point before.
+_TOP = 0x40000
 #: Lower-case code points below _TOP.
-_LOWER = np.array([ord(low) if len(low := chr(i).lower()) == 1 and ord(low) < _TOP else i for i in range(_TOP)], np.int64)
+_LOWER = np.array([ord(low) if len(low := chr(i).lower()) == 1 else i for i in range(_TOP)], np.int64)
 _LETTER = np.array([chr(i).isalnum() for i in range(_TOP)])
+#: Letters of terms below this code point have columns of their own in the table; the others are kept sparse.
+_NEAR = 2048
 
 
 @dataclass
 class Automaton:
-    """classes: a class for each code point below _TOP (0: no letter, 1: any other letter). step[state * n + class];
-    state 0 is dead, 1 the start. whole, stem: 0 for none, else 1 + edits at a word's end, or as soon as reached."""
+    """classes: a class for each code point below _TOP (0: no letter, 1: any other letter). step[state * n + class] for
+    classes below n; letters of higher classes step as class 1 does, unless far_keys (state << 32 | class, in order) has
+    the pair. State 0 is dead, 1 the start. whole, stem: 0 for none, else 1 + edits at a word's end, or as soon as
+    reached."""
 
     classes: np.ndarray
     step: np.ndarray
+    far_keys: np.ndarray
+    far_step: np.ndarray
     whole: np.ndarray
     stem: np.ndarray
 
+    def next(self, state: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        n = self.step.size // len(self.whole)
+        far = np.flatnonzero(cls >= n)
+        if not len(far):
+            return self.step[state.astype(np.int64) * n + cls]
+        out = self.step[state.astype(np.int64) * n + np.where(cls < n, cls, 1)]
+        if len(self.far_keys):
+            keys = state[far].astype(np.int64) << 32 | cls[far]
+            at = np.minimum(np.searchsorted(self.far_keys, keys), len(self.far_keys) - 1)
+            out[far] = np.where(self.far_keys[at] == keys, self.far_step[at], out[far])
+        return out
+
 
 def automaton(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automaton:
     """Levenshtein automata of all terms, intersected with their trie, as one deterministic table."""
@@ -70,13 +89,12 @@ def automaton(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automat
             at = kids[at][c]
             reach[at] |= bool(edits)
         ends[at] = (max(edits, ends[at][0]), is_stem or ends[at][1])
-    letters = sorted({c for k in kids for c in k})
+    letters = sorted({c for k in kids for c in k})  # by code point, so those with columns of their own come first
     of = {c: i + 2 for i, c in enumerate(letters)}
     classes = np.where(_LETTER, 1, 0)
     for c, i in of.items():
-        if ord(c) < _TOP:
-            classes[ord(c)] = i
-    n = len(letters) + 2
+        classes[ord(c)] = i
+    n = sum(ord(c) < _NEAR for c in letters) + 2
 
     def closed(found: dict[int, int]) -> frozenset:
         out = dict(found)
@@ -88,29 +106,37 @@ def automaton(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automat
         return frozenset(out.items())
 
     start = closed({0: 0})
-    ids, todo, rows = {frozenset(): 0, start: 1}, [start], {0: [0] * n}
+    ids, todo, rows, far = {frozenset(): 0, start: 1}, [start], {0: [0] * n}, {}
+
+    def after(state: frozenset, letter: str | None) -> int:
+        found: dict[int, int] = {}
+        for node, e in state:
+            kid = kids[node].get(letter) if letter else None
+            if kid is not None and found.get(kid, 2) > e and (e == 0 or reach[kid]):
+                found[kid] = e
+            if e == 0 and reach[node]:
+                for kid in kids[node].values():  # another letter in its place
+                    if reach[kid] and found.get(kid, 2) > 1:
+                        found[kid] = 1
+                if found.get(node, 2) > 1:  # a letter too many
+                    found[node] = 1
+        new = closed(found)
+        if new not in ids:
+            ids[new] = len(ids)
+            todo.append(new)
+        return ids[new]
+
     while todo:
         state = todo.pop()
-        row = [0] * n
-        for k in range(1, n):
-            letter = letters[k - 2] if k > 1 else None
-            found: dict[int, int] = {}
-            for node, e in state:
-                kid = kids[node].get(letter) if letter else None
-                if kid is not None and found.get(kid, 2) > e and (e == 0 or reach[kid]):
-                    found[kid] = e
-                if e == 0 and reach[node]:
-                    for kid in kids[node].values():  # another letter in its place
-                        if reach[kid] and found.get(kid, 2) > 1:
-                            found[kid] = 1
-                    if found.get(node, 2) > 1:  # a letter too many
-                        found[node] = 1
-            new = closed(found)
-            if new not in ids:
-                ids[new] = len(ids)
-                todo.append(new)
-            row[k] = ids[new]
+        other = after(state, None)  # of all letters but those that go on from here
+        row = [0] + [other] * (n - 1)
+        for letter in sorted({c for node, _ in state for c in kids[node]}):
+            if of[letter] < n:
+                row[of[letter]] = after(state, letter)
+            else:
+                far[ids[state] << 32 | of[letter]] = after(state, letter)
         rows[ids[state]] = row
+    far_keys = np.array(sorted(far), np.int64)
     whole, stem = np.zeros(len(ids), np.int8), np.zeros(len(ids), np.int8)
     for state, i in ids.items():
         for node, e in state:
@@ -119,7 +145,21 @@ def automaton(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automat
                 whole[i] = e + 1
             if is_stem and e == 0:
                 stem[i] = 1
-    return Automaton(classes.astype(np.uint8), np.array([rows[i] for i in range(len(ids))], np.int32).ravel(), whole, stem)
+    step = np.array([rows[i] for i in range(len(ids))], np.int32).ravel()
+    return Automaton(classes[_LOWER].astype(np.uint16), step, far_keys, np.array([far[k] for k in far_keys.tolist()], np.int32), whole, stem)
+
+
+def code_points(data: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The code points of the UTF-8 characters whose first bytes are at lead."""
+    code = data[lead].astype(np.int64)
+    for least, size in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
+        own = np.flatnonzero((data[lead] >= least) & (data[lead] < (0xE0, 0xF0, 0x100)[size - 2]))
+        if len(own):
+            value = code[own] & (0x7F >> size)
+            for k in range(1, size):
+                value = value << 6 | data[np.minimum(lead[own] + k, len(data) - 1)] & 0x3F
+            code[own] = value
+    return code
 
 
 def hits(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,12 +169,7 @@ def hits(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     if not len(lead):
         return none, none, none, none, np.zeros(rows, np.int64)
-    b = data[lead].astype(np.int64)
-    follow = data[np.minimum(lead + 1, len(data) - 1)].astype(np.int64)
-    code = np.where(b < 0x80, b, np.where((b >= 0xC0) & (b < 0xE0), ((b & 0x1F) << 6) | (follow & 0x3F), _TOP))
-    low = code < _TOP
-    cls = np.ones(len(code), np.uint8)
-    cls[low] = auto.classes[_LOWER[code[low]]]
+    cls = auto.classes[np.minimum(code_points(data, lead), _TOP - 1)]
     inside = cls != 0
     edge = np.searchsorted(lead, offsets)  # where rows begin, in characters
     opens = inside.copy()
@@ -147,11 +182,10 @@ def hits(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     row = np.searchsorted(edge, start, side="right") - 1
     n_words = np.bincount(row, minlength=rows)
-    n = int(auto.step.size // len(auto.whole))
     state, live, at = np.ones(len(start), np.int32), np.arange(len(start)), start.copy()
     got_word, got_kind = [], []
     while len(live):
-        state = auto.step[state.astype(np.int64) * n + cls[at]]
+        state = auto.next(state, cls[at])
         alive = state > 0
         state, live, at = state[alive], live[alive], at[alive] + 1
         stem = auto.stem[state] > 0

@@ -148,6 +148,48 @@ def test_automaton_is_the_edit_distance():
     assert all(text[b:e].decode() in found for b, e, k in zip(begin, end, kind, strict=True) if k != 1)
 
 
+def found_terms(auto, texts):
+    """(row, the hit's text, kind) of all hits, and words of each row."""
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    row, begin, end, kind, n = toxicity.hits(auto, np.frombuffer(data, np.uint8), offsets)
+    return [(int(r), data[b:e].decode(), int(k)) for r, b, e, k in zip(row, begin, end, kind, strict=True)], n.tolist()
+
+
+def test_letters_and_punctuation_of_all_scripts():
+    auto = toxicity.automaton(["scum", "idiot", "ngốc", "傻瓜蛋", "вон", "წყეული", "𐐨𐐩𐐪"], ["vequ", "笨蛋"])
+    texts = ["“scum”", "–scum—", "scum…", "‘idiot’", "\u3000idiot\u3000", "😀scum😀", "—vequé”", "NGỐC", "ngộc", "傻瓜蛋", "「傻瓜蛋」。", "傻瓜人", "笨蛋们", "წყეული", "წყეულია", "წყეუი", "𐐀𐐁𐐂", "ВОН", "傻scum", "", "…—😀"]
+    got, n = found_terms(auto, texts)
+    assert got == [(0, "scum", 0), (1, "scum", 0), (2, "scum", 0), (3, "idiot", 0), (4, "idiot", 0), (5, "scum", 0), (6, "vequé", 1), (7, "NGỐC", 0), (9, "傻瓜蛋", 0), (10, "傻瓜蛋", 0), (12, "笨蛋们", 1), (13, "წყეული", 0), (14, "წყეულია", 2), (15, "წყეუი", 2), (16, "𐐀𐐁𐐂", 0), (17, "ВОН", 0)]
+    assert n == [1] * 19 + [0, 0]
+
+
+def test_walk_parts_words_as_the_lexicon_does():
+    rng = random.Random(12)
+    some = [chr(c) for c in range(0x40, 0x2FFFF) if rng.random() < 0.02 and not 0xD800 <= c < 0xE000]
+    terms = sorted({"".join(rng.choice([c for c in some[:400] if c.isalnum() and c == c.lower()]) for _ in range(rng.randint(3, 7))) for _ in range(60)})
+    auto = toxicity.automaton(terms, [])
+    for t in some + [chr(i) for i in (0x2019, 0x10FFFF, 0x3FFFF, 0x40000)]:
+        expected = [w for w in toxicity._WORD.findall(f"ab{t}cd".lower())]
+        assert found_terms(auto, [f"ab{t}cd"])[1] == [len(expected)], hex(ord(t))
+    cuts = [w[:i] + rng.choice(["", "ж", "漢", w[i]]) + w[i + 1 :] for w in terms for i in range(len(w))]
+    got, _ = found_terms(auto, [" ".join(cuts)])
+    assert [(w, k) for _, w, k in got] == [(w, 0 if w in terms else 2) for w in cuts if w in terms or any(len(t) >= toxicity.FUZZY and edits(w, t) <= 1 for t in terms)]
+
+
+def test_toxicity_learns_terms_of_any_script(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = prose(i, 40).split()
+        if i % 5 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["“傻瓜蛋”", "ngốc…", "—scum—"]))
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.predict(df, df).collect()}
+    assert all(got[i].predicted == t and (got[i].n_exact > 0) == bool(t) for i, _, t in rows)
+
+
 def test_context_tells_quotation_from_abuse():
     assert toxicity.context_weight('he wrote "', '" in a letter') == toxicity.QUOTED
     assert toxicity.context_weight("the word ", " is old") == toxicity.QUOTED
