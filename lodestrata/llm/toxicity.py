@@ -2,8 +2,8 @@
 
 The lexicon's trie is intersected with the Levenshtein automata of its terms and determinised, so one table walks all
 words of a batch at once, a character at a time; words that leave the automaton are dropped from the walk. Terms are
-whole words or stems (a stem matches what begins with it). Terms of FUZZY letters or more allow one edit; shorter ones
-and stems none. Each hit is then judged by a window of text around it: inside quotation marks or beside a word of
+whole words or stems (a stem matches what begins with it). Words of FUZZY letters or more allow one edit, also where a
+stem covers them; shorter ones and stems none. Each hit is then judged by a window of text around it: inside quotation marks or beside a word of
 reporting it counts less, beside an address in the second person more. A logistic model turns a document's sums of hits
 into a score.
 
@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: The most labelled rows to learn from, the most lexicon terms, letters from which a term allows an edit.
+#: The most labelled rows to learn from; the most lexicon terms of each kind (words, words that a stem covers, stems);
+#: letters from which a word allows an edit.
 SAMPLE, TERMS, FUZZY = 20_000, 300, 5
 #: Bytes of text on either side of a hit that make its context.
 CONTEXT = 60
@@ -238,9 +239,12 @@ def lexicon(words: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, most:
             largest = max((a for x, (a, _) in words.items() if x.startswith(w[:-1]) and not x.endswith("*")), default=0)
             if max(whole, largest) < 0.7 * tells[w][0]:  # else one word makes up the stem
                 stems.append(w[:-1])
-    plain = [w for w in tells if not w.endswith("*") and not any(w.startswith(s) for s in stems)]
-    plain = sorted(plain, key=lambda w: (-tells[w][0], w))[:most]
-    return sorted(plain), sorted(stems[:most])
+    stems = stems[:most]
+    of_stem = lambda w: any(w.startswith(s) for s in stems)
+    often = sorted((w for w in tells if not w.endswith("*")), key=lambda w: (-tells[w][0], w))
+    # a stem allows no edit, so the words behind it stay as terms that do; each of the three kinds has its own bound
+    plain = [w for w in often if not of_stem(w)][:most] + [w for w in often if len(w) >= FUZZY and of_stem(w)][:most]
+    return sorted(plain), sorted(stems)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> np.ndarray:

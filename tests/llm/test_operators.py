@@ -190,6 +190,16 @@ def test_toxicity_learns_terms_of_any_script(spark):
     assert all(got[i].predicted == t and (got[i].n_exact > 0) == bool(t) for i, _, t in rows)
 
 
+def test_misspelt_words_of_a_stem_are_found(spark):
+    rng = random.Random(10)
+    family = ["zorgax", "zorgel", "zorgin", "zorgum", "zorgots", "zorgyr"]
+    rows = [(i, prose(i, 40) + (" " + " ".join(rng.sample(family, 2)) if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert model.stems == ["zorg"] and model.words == sorted(family)
+    got, _ = found_terms(toxicity.automaton(model.words, model.stems), ["zorgax zorgi", " zrgax zotgel", " xorgots", " zrg"])
+    assert got == [(0, "zorgax", 1), (0, "zorgi", 1), (1, "zrgax", 2), (1, "zotgel", 2), (2, "xorgots", 2)]
+
+
 def test_context_tells_quotation_from_abuse():
     assert toxicity.context_weight('he wrote "', '" in a letter') == toxicity.QUOTED
     assert toxicity.context_weight("the word ", " is old") == toxicity.QUOTED
