@@ -29,6 +29,8 @@ from . import common
 #: The most labelled rows to learn from; the most lexicon terms of each kind (words, words that a stem covers, stems);
 #: letters from which a word allows an edit.
 SAMPLE, TERMS, FUZZY = 20_000, 300, 5
+#: Toxic documents that must have a string before it counts at all.
+LEAST = 4
 #: Bytes of text on either side of a hit that make its context.
 CONTEXT = 60
 STEM = (4, 5, 6, 7)
@@ -226,18 +228,22 @@ def features(auto: Automaton, column: pa.Array) -> np.ndarray:
     return np.log1p(out)
 
 
-def lexicon(words: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, most: int = TERMS) -> tuple[list[str], list[str]]:
+def fewest(n_toxic: int) -> int:
+    """The toxic documents that must have a string before it can be a term."""
+    return max(LEAST, n_toxic // 50)
+
+
+def lexicon(words: dict[str, tuple[int, int]], families: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, most: int = TERMS) -> tuple[list[str], list[str]]:
     """Words and stems that mark toxic texts. words: strings (stems with a * at their end) with the numbers of toxic and
-    clean documents that have them."""
-    least = max(4, n_toxic // 50)
+    clean documents that have them. families: by stem, how many longer words of LEAST toxic documents or more begin with
+    it, and in how many the most frequent word is that does, or is the stem itself."""
+    least = fewest(n_toxic)
     tells = {w: (a, c) for w, (a, c) in words.items() if a >= least and a / max(n_toxic, 1) >= 20 * (c + 0.05) / max(n_clean, 1)}
-    completions = Counter(w[:k] for w in words if not w.endswith("*") for k in STEM if len(w) > k)
     stems: list[str] = []
     for w in sorted((w for w in tells if w.endswith("*")), key=lambda w: (len(w), w)):
-        if completions[w[:-1]] >= 5 and not any(w.startswith(s) for s in stems):
-            whole = words.get(w[:-1], (0, 0))[0]
-            largest = max((a for x, (a, _) in words.items() if x.startswith(w[:-1]) and not x.endswith("*")), default=0)
-            if max(whole, largest) < 0.7 * tells[w][0]:  # else one word makes up the stem
+        completions, largest = families.get(w, (0, 0))
+        if completions >= 5 and not any(w.startswith(s) for s in stems):
+            if largest < 0.7 * tells[w][0]:  # else one word makes up the stem
                 stems.append(w[:-1])
     stems = stems[:most]
     of_stem = lambda w: any(w.startswith(s) for s in stems)
@@ -307,13 +313,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         count[""] = n
         yield pa.RecordBatch.from_pydict({"w": list(count), "n": list(count.values())}, schema=pa.schema([("w", pa.string()), ("n", pa.int64())]))
 
-    least = 4
     summed = lambda toxic, only: own.where(f"toxic = {int(toxic)}").select("text").mapInArrow(lambda b: tell(b, toxic, only), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    # bounded by the sample: the strings of toxic texts that occur often enough, then the same ones in clean texts
-    bad = {r.w: r.n for r in summed(True, None).where(f"n >= {least} OR w = ''").orderBy(F.desc("n"), "w").limit(20_000).collect()}
+    counts = common.settled(summed(True, None).where(f"n >= {LEAST} OR w = ''"), "strings")
+    n_toxic = counts.where("w = ''").agg(F.sum("n")).first()[0] or 0
+    # what can be a term is in a fiftieth of the toxic texts or more, so it is 50 times an average text's strings at most
+    often = counts.where(f"w <> '' AND n >= {fewest(n_toxic)}")
+    bad = {r.w: r.n for r in often.collect()}
+    whole = counts.where("w <> '' AND w NOT LIKE '%*'").select("w", "n", F.explode(F.array(*map(F.lit, STEM))).alias("k")).where("length(w) >= k")
+    behind = whole.groupBy(F.expr("concat(substring(w, 1, k), '*')").alias("w")).agg(F.count_if(F.expr("length(w) > k")).alias("longer"), F.max("n").alias("largest"))
+    families = {r.w: (r.longer, r.largest) for r in often.select("w").join(behind.where("longer > 0"), "w").collect()}
     good = {r.w: r.n for r in summed(False, frozenset(bad)).collect()}
-    n_toxic, n_clean = bad.pop("", 0), good.pop("", 0)
-    words, stems = lexicon({w: (a, good.get(w, 0)) for w, a in bad.items()}, n_toxic, n_clean)
+    n_clean = good.pop("", 0)
+    words, stems = lexicon({w: (a, good.get(w, 0)) for w, a in bad.items()}, families, n_toxic, n_clean)
     auto = automaton(words, stems)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -200,6 +200,19 @@ def test_misspelt_words_of_a_stem_are_found(spark):
     assert got == [(0, "zorgax", 1), (0, "zorgi", 1), (1, "zrgax", 2), (1, "zotgel", 2), (2, "xorgots", 2)]
 
 
+def test_rare_terms_of_long_texts_are_learned(spark):
+    """Terms near the least frequency, behind more than 20,000 strings that are more frequent."""
+    rng = random.Random(11)
+    common_words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(7000)]
+    family = [f"zorg{x}" for x in ("ax", "el", "in", "um", "ots", "yr")]
+    rows = []
+    for i in range(120):
+        rare = [("blivnar", i in (2, 12, 22, 32)), *((w, i % 2 == 0 and i % 24 == 2 * k) for k, w in enumerate(family)), ("scum", i % 2 == 0 and i < 10)]
+        rows.append((i, " ".join(common_words[i // 2 % 8 :: 8]) + " " + " ".join(w for w, has in rare if has) + f" {i}", int(i % 2 == 0)))
+    model = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert model.stems == ["zorg"] and model.words == sorted(["blivnar", "scum", *family])
+
+
 def test_context_tells_quotation_from_abuse():
     assert toxicity.context_weight('he wrote "', '" in a letter') == toxicity.QUOTED
     assert toxicity.context_weight("the word ", " is old") == toxicity.QUOTED
