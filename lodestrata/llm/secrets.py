@@ -2,8 +2,8 @@
 
 Candidates are found in each text by patterns: assignments to a secret's name, access keys, long hexadecimal strings,
 and tokens of high entropy. Their hashes are aggregated over the whole corpus by distinct repositories and owners. A
-value that COMMON owners or more hold is a widely copied example; one of few owners that looks random is live. High
-entropy tokens that are no part of a match of the first three kinds become spans only if they are live.
+value that COMMON owners or WIDE repositories or more hold is a widely copied example; one of fewer that looks random is
+live. High entropy tokens that are no part of a match of the first three kinds become spans only if they are live.
 
 Texts are read once; what travels is a hash for each candidate, first reduced to one row for each owner and repository.
 """
@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Owners from which a value counts as an example; bits a character from which a value looks random.
-COMMON, ENTROPY = 3, 3.0
+#: Owners, and repositories of however few owners, from which a value counts as an example; bits a character from which
+#: a value looks random.
+COMMON, WIDE, ENTROPY = 3, 6, 3.0
 #: Fixed order of kinds at the same start.
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -116,9 +117,9 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     single = full.select("repository", "owner", "doc_id", "text_hash", F.explode(F.array_distinct("found.hash")).alias("hash"))
     # one row for each value, owner and repository leaves a task; a value's rows are then as many as its owners at most
     held = single.groupBy("hash", F.coalesce("owner", F.concat(F.lit("?"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("owner"), F.coalesce("repository", F.lit("?")).alias("repository")).agg(F.count("*").alias("n"))
-    owned = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    owned = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     # the joins below: values that few hold are many but not hot; hot values are few
-    examples = owned.where(F.col("owners") >= COMMON).select("hash", F.lit(True).alias("example"))
+    examples = owned.where((F.col("owners") >= COMMON) | (F.col("repositories") >= WIDE)).select("hash", F.lit(True).alias("example"))
     each = full.select("doc_id", "text_hash", F.explode("found").alias("c")).select("doc_id", "text_hash", "c.*").distinct()
     judged = each.join(examples, "hash", "left").withColumn("example", F.coalesce("example", F.lit(False))).withColumn("live", ~F.col("example") & F.col("random"))
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank"), "kind", "end", "live", "example")

@@ -471,6 +471,14 @@ def test_ownership_separates_examples(spark):
     assert clean[100].text == "é [secret]' and [secret] too" and clean[103].text is None and clean[0]._id == "clash"
 
 
+def test_repositories_separate_examples(spark):
+    wide, narrow, shared = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "2c26b46b68ffc68ff99b453c1d30413413422d70", "fcde2b2edba56bf408601fb721fe9b5c338d10ee"
+    rows = [(i, f"a {wide}", f"r{i}", "one") for i in range(secrets.WIDE)] + [(20 + i, f"a {narrow}", f"r{i % (secrets.WIDE - 1)}", "one") for i in range(12)]
+    rows += [(40 + i, f"a {shared}", f"r{i // 2}", ("one", "two")[i % 2]) for i in range(secrets.WIDE)]  # a repository is one owner's
+    found = {r.doc_id: (len(r.live), r.n_examples) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, repository string, owner string"), "repository", "owner").collect()}
+    assert all(found[i] == ((1, 0) if 20 <= i < 40 else (0, 1)) for i, *_ in rows)
+
+
 def test_secrets_of_odd_rows(odd, none):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(none).count() == 0 and secrets.masked(odd).columns == odd.columns
 
