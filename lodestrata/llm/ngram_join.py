@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from . import common
 from .components import components
 
-#: N-grams of one chunk of a block, forest entries that a task ties at once, and ids of block members to broadcast.
+#: N-grams of one chunk of a block, forest entries that a task ties at once, and rows of block members, one for each chunk
+#: of their block, to broadcast.
 CHUNK, TIED, BROADCAST = 1 << 21, 2 << 20, 250_000
 #: Sets from which a node is hot. With 2 every shared node is: a set that shares fewer nodes than it can spare with any
 #: others at all has no partner.
@@ -336,9 +337,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     weight = members.groupBy("block").agg(F.count("*").alias("m"), F.ceil(F.sum("n_shingles") / CHUNK).alias("chunks")).where("m > 1")
     members = members.join(weight, "block").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks")).drop("m")
     members = common.settled(members, "members")
-    split = (members.agg(F.max("chunks")).first()[0] or 1) > 1
+    most, dealt_rows = members.agg(F.max("chunks"), F.sum("chunks")).first()
+    split = (most or 1) > 1
 
-    few = members.count() <= BROADCAST
+    few = (dealt_rows or 0) <= BROADCAST  # a member has a row for each chunk of its block
     part = members.select("rep", "f1", "f2", "copies", "block", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     part = part.select("rep", "f1", "f2", "copies", "block", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     texts = rows.join(F.broadcast(part) if few else part, F.col("doc_id") == F.col("rep")).select("block", "i", "j", "chunk", "doc_id", "copies", "f1", "f2", "text")

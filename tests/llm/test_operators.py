@@ -370,6 +370,20 @@ def test_ngram_join(spark, monkeypatch, n, percent, chunk):
     assert kept == {c for *_, c in jaccard_groups(rows, n, percent)}
 
 
+def test_ngram_join_broadcasts_bounded_rows(spark, monkeypatch):
+    """A family of near copies whose members are few, but are dealt out to many chunks."""
+    base = prose(7, 200, tuple(f"w{i}" for i in range(300))).split()
+    df = spark.createDataFrame([(i, " ".join([*base, f"x{i}"])) for i in range(40)], "doc_id long, text string")
+    sent = []
+    own = F.broadcast
+    monkeypatch.setattr(ngram_join, "CHUNK", 1000)
+    monkeypatch.setattr(ngram_join.F, "broadcast", lambda d: sent.append(d.count()) or own(d) if {"i", "j"} <= set(d.columns) else own(d))
+    for most in (100, 10_000):
+        monkeypatch.setattr(ngram_join, "BROADCAST", most)
+        assert {(r.n_links, r.component_id) for r in ngram_join.ngram_join(df, 3, 90).collect()} == {(39, 0)}
+        assert len(sent) == (most > 100) and all(40 < n <= most for n in sent)
+
+
 def test_trie_join_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 60, 80, dtype=np.uint64))
