@@ -16,6 +16,8 @@ from . import filters, settings
 
 #: Window logarithm that readers accept, and that writers use for long distances.
 READ_WINDOW, LONG_WINDOW = 31, 28
+#: Bytes that every level's own window reaches.
+NEAR = 512 << 10
 _BRANCHES = {"x86": lzma.FILTER_X86, "arm": lzma.FILTER_ARM, "armt": lzma.FILTER_ARMTHUMB, "ia64": lzma.FILTER_IA64, "sparc": lzma.FILTER_SPARC, "ppc": lzma.FILTER_POWERPC}
 
 
@@ -30,7 +32,8 @@ def _zstd(level: int, long: bool, dictionary: bytes | None) -> zstandard.ZstdCom
 
 
 def zstd_encode(data: bytes, level: int = 3, long: bool = False, dictionary: bytes | None = None) -> bytes:
-    return _zstd(level, long, dictionary).compress(data)
+    """long: a window beyond the level's own, for bodies that are larger than NEAR."""
+    return _zstd(level, long and len(data) > NEAR, dictionary).compress(data)
 
 
 def zstd_decode(data: bytes, dictionary: bytes | None = None) -> bytes:
@@ -38,13 +41,17 @@ def zstd_decode(data: bytes, dictionary: bytes | None = None) -> bytes:
     return zstandard.ZstdDecompressor(dict_data=given, max_window_size=1 << READ_WINDOW).decompress(data)
 
 
-def lzma_encode(data: bytes, level: int = 5, branch: str | None = None) -> bytes:
-    """xz with the strongest preset, literal bits for text, and a dictionary no larger than the data needs."""
-    size = min((64 if level <= 6 else 128) << 20, max(4096, 1 << max(0, len(data) - 1).bit_length()))
-    chain = [{"id": lzma.FILTER_LZMA2, "preset": 9 | lzma.PRESET_EXTREME, "lc": 4, "lp": 0, "pb": 0, "nice_len": 273, "dict_size": size}]
+def lzma_encode(data: bytes, level: int = 5, branch: str | None = None, knobs: dict[str, int] | None = None) -> bytes:
+    """xz with the strongest preset, literal bits for text, and a dictionary no larger than the data needs. More than a
+    block is written as streams of a block each, which decoders read as one."""
+    knob = {k: (knobs or {}).get(k, v) for k, v in settings.KNOBS.items()}
+    largest = knob["lzma.dict"] or settings.lzma_dictionary(level)
+    size = min(max(4096, largest), max(4096, 1 << max(0, len(data) - 1).bit_length()))
+    chain = [{"id": lzma.FILTER_LZMA2, "preset": 9 | lzma.PRESET_EXTREME, "lc": knob["lzma.lc"], "lp": knob["lzma.lp"], "pb": knob["lzma.pb"], "nice_len": knob["lzma.nice"], "dict_size": size}]
     if branch:
         chain.insert(0, {"id": _BRANCHES[settings.branch_filter(branch)]})
-    return lzma.compress(data, format=lzma.FORMAT_XZ, check=lzma.CHECK_CRC64, filters=chain)
+    block = knob["lzma.block"] * settings.MIB or settings.lzma_block(level)
+    return b"".join(lzma.compress(data[k : k + block], format=lzma.FORMAT_XZ, check=lzma.CHECK_CRC64, filters=chain) for k in range(0, max(1, len(data)), block))
 
 
 #: Recompressors by kind of entry: (encode, decode). None is available here; an encoder that fails or is absent leaves
@@ -89,14 +96,14 @@ def applied(body: Column, f: Callable[[bytes], bytes]) -> Column:
     return over(body)
 
 
-def encoded(body: Column, codec: str, level: int = 3, branch: str | None = None, dictionary: bytes | None = None) -> Column:
+def encoded(body: Column, codec: str, level: int = 3, branch: str | None = None, dictionary: bytes | None = None, long: bool = False, knobs: dict[str, int] | None = None) -> Column:
     """store, zstd or lzma."""
     if codec == "store":
         return body
     if codec == "zstd":
-        return applied(body, lambda b: zstd_encode(b, level, dictionary=dictionary))
+        return applied(body, lambda b: zstd_encode(b, level, long, dictionary))
     if codec == "lzma":
-        return applied(body, lambda b: lzma_encode(b, level, branch))
+        return applied(body, lambda b: lzma_encode(b, level, branch, knobs))
     raise ValueError(f"codec not available: {codec}")
 
 

@@ -75,7 +75,7 @@ def rep_encode(data: bytes, window: int = fixed.REP_WINDOW) -> bytes:
     """Repeats of `window` bytes or more: every literal position is indexed by its window's hash, the last one wins;
     a match ends before its own source would overlap it."""
     b = np.frombuffer(data, np.uint8)
-    keys = fnv_windows(b, window) & np.uint32((1 << 24) - 1)
+    keys = fnv_windows(b, window) & np.uint32(fixed.REP_SLOTS - 1)
     found, at, last = [], 0, {}
     for i in _repeated(keys).tolist():
         if i < at:
@@ -96,7 +96,7 @@ def srep_encode(data: bytes, window: int = fixed.SREP_WINDOW) -> bytes:
     b = np.frombuffer(data, np.uint8)
     if len(b) < window:
         return _written(data, [])
-    prime, inverse = 153191, pow(153191, -1, 1 << 64)
+    prime, inverse = fixed.SREP_PRIME, pow(fixed.SREP_PRIME, -1, 1 << 64)
     up = np.cumprod(np.concatenate([[_U(1)], np.full(len(b), _U(prime))]), dtype=_U)
     down = np.cumprod(np.concatenate([[_U(1)], np.full(len(b), _U(inverse))]), dtype=_U)
     sums = np.concatenate([[_U(0)], np.cumsum((b.astype(_U) + _U(1)) * down[: len(b)], dtype=_U)])
@@ -104,7 +104,7 @@ def srep_encode(data: bytes, window: int = fixed.SREP_WINDOW) -> bytes:
     found, at, last = [], 0, {}
     for first in range(0, len(h), window):
         i = first + int(np.argmax(h[first : first + window]))
-        key = int(h[i]) & (1 << 24) - 1
+        key = int(h[i]) & fixed.REP_SLOTS - 1
         j = last.get(key, -1)
         last[key] = i
         if j < 0 or i < at:
@@ -144,27 +144,53 @@ def rep_decode(coded: bytes) -> bytes:
 
 def _contexts(b: np.ndarray) -> np.ndarray:
     """Slot of the context before each position from LZP_CONTEXT on."""
-    return fnv_windows(b, fixed.LZP_CONTEXT) & np.uint32((1 << 20) - 1)
+    return fnv_windows(b, fixed.LZP_CONTEXT) & np.uint32(fixed.LZP_SLOTS - 1)
+
+
+def _again(b: np.ndarray, width: int) -> np.ndarray:
+    """Positions, ascending, of windows (a power of two wide) that occur more than once, by a 64-bit hash."""
+    h, n = b.astype(_U), 1
+    while n < width:
+        h = h[: len(h) - n] * _U(0x9E3779B97F4A7C15) + (h[n:] ^ (h[n:] >> _U(29)))
+        n *= 2
+    return _repeated(h)
 
 
 def lzp_encode(data: bytes) -> bytes:
     """Predicts what follows a context by what followed it last; a prediction that holds for LZP_MATCH bytes or more is
-    written by its length alone. The block's length, then literals and match lengths in turn, a match of 0 last."""
+    written by its length alone. The block's length, then literals and match lengths in turn, a match of 0 last.
+
+    Only a window of LZP_MATCH bytes that occurs twice can begin a match, so only these positions are looked at; what a
+    slot held then is found along the chain of earlier positions with that slot, without those inside matches."""
     b = np.frombuffer(data, np.uint8)
-    found, at, last = [], 0, {}
-    if len(b) >= fixed.LZP_CONTEXT + fixed.LZP_MATCH:
+    found, at = [], 0
+    width, least = fixed.LZP_CONTEXT, fixed.LZP_MATCH
+    maybe = _again(b, least) if len(b) >= width + least else np.zeros(0, np.int64)
+    maybe = maybe[maybe >= width]
+    if len(maybe):
         slots = _contexts(b)
-        for k in _repeated(slots).tolist():
-            i = k + fixed.LZP_CONTEXT
-            if i < at or i >= len(b):
+        order = np.argsort(slots, kind="stable")
+        before = np.full(len(slots), -1, np.int64)
+        same = slots[order][1:] == slots[order][:-1]
+        before[order[1:][same]] = order[:-1][same]
+        inside = np.zeros(len(b), bool)
+        k = 0
+        while k < len(maybe):
+            i = int(maybe[k])
+            if i < at:
+                k = int(np.searchsorted(maybe, at))
                 continue
-            j = last.get(int(slots[k]), -1)
-            last[int(slots[k])] = i
-            if j >= 0 and j + fixed.LZP_MATCH <= i:
+            k += 1
+            j = int(before[i - width])
+            while j >= 0 and inside[j + width]:
+                j = int(before[j])
+            j += width
+            if j >= width and j + least <= i:
                 n = _agree(b, i, j, min(len(b) - i, i - j))
-                if n >= fixed.LZP_MATCH:
+                if n >= least:
                     found.append((i, n))
                     at = i + n
+                    inside[i + 1 : at] = True
     out, at = [struct.pack("<Q", len(data))], 0
     for start, n in found:
         out += [put_varint(start - at), data[at:start], put_varint(n)]
@@ -172,29 +198,37 @@ def lzp_encode(data: bytes) -> bytes:
     return b"".join([*out, put_varint(len(data) - at), data[at:], put_varint(0)])
 
 
+#: The position behind the last context of each slot; a decoder clears what it has set.
+_LAST = np.full(fixed.LZP_SLOTS, -1, np.int64)
+
+
 def lzp_decode(coded: bytes) -> bytes:
     (size,) = struct.unpack_from("<Q", coded)
-    out, at, last = bytearray(), 8, {}
+    out, at, used = bytearray(), 8, []
     width = fixed.LZP_CONTEXT
-    while True:
-        n, at = get_varint(coded, at)
-        begin = len(out)
-        out += coded[at : at + n]
-        length, at = get_varint(coded, at + n)
-        # contexts that end where a literal or the coming match stands
-        low = max(begin, width)
-        tail = np.frombuffer(bytes(out[low - width :]), np.uint8) if len(out) >= low else np.zeros(0, np.uint8)
-        slots = _contexts(tail).tolist() if len(tail) >= width else []
-        source = -1
-        for k, slot in enumerate(slots):
-            if k == len(slots) - 1:
-                source = last.get(slot, -1)
-            last[slot] = low + k
-        if not length:
-            break
-        if source < 0 or source + length > len(out):
-            raise ValueError("a prediction has no source")
-        out += out[source : source + length]
+    try:
+        while True:
+            n, at = get_varint(coded, at)
+            begin = len(out)
+            out += coded[at : at + n]
+            length, at = get_varint(coded, at + n)
+            if not length:
+                break
+            # contexts that end where a literal or the coming match stands
+            low = max(begin, width)
+            slots = _contexts(np.frombuffer(bytes(out[low - width :]), np.uint8)) if len(out) >= low else np.zeros(0, np.uint32)
+            source = -1
+            if len(slots):
+                _LAST[slots[:-1]] = np.arange(low, low + len(slots) - 1)  # of a slot set twice the last stays
+                used.append(slots)
+                source = int(_LAST[slots[-1]])
+                _LAST[slots[-1]] = low + len(slots) - 1
+            if source < 0 or source + length > len(out):
+                raise ValueError("a prediction has no source")
+            out += out[source : source + length]
+    finally:
+        for slots in used:
+            _LAST[slots] = -1
     if len(out) != size:
         raise ValueError("a block has another length than it says")
     return bytes(out)

@@ -32,6 +32,8 @@ GEAR_SEED, GEAR_FACTOR, GEAR_TERM = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94
 
 # --- fixed values: byte filters ---
 REP_WINDOW, SREP_WINDOW = 64, 512
+REP_SLOTS, LZP_SLOTS = 1 << 24, 1 << 20
+SREP_PRIME = 153191
 LZP_CONTEXT, LZP_MATCH = 8, 32
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 DELTA_STRIDES = [1, 2, 4]

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..plans.storage import joined, settled
 from .dedup import first_seen
 
 CHUNKS = "path string, seq int, offset long, len int, hash string, payload binary"
 _WORD = 1 << 64
+#: Bytes of bodies that a task gathers before it hands them on.
+_HELD = 16 << 20
 
 
 @lru_cache(maxsize=1)
@@ -91,21 +94,48 @@ def registry(chunks: DataFrame) -> DataFrame:
 
 
 def recipes(chunks: DataFrame, known: DataFrame) -> DataFrame:
-    """Files as ordered chunks: path, seq, chunk_id, is_ref (the chunk has occurred before)."""
-    first = chunks.groupBy("hash").agg(F.min(F.struct("path", "seq")).alias("_first"))
-    named = chunks.select("path", "seq", "hash").join(known.select("hash", "chunk_id"), "hash").join(first, "hash")
+    """Files as ordered chunks: path, seq, chunk_id, is_ref (the chunk has occurred before). A chunk that is not in the
+    registry keeps its place, with a null chunk_id; it dangles. A chunk that very many files have is cut in the joins."""
+    places = settled(chunks.select("path", "seq", "hash"), "places")
+    first = places.groupBy("hash").agg(F.min(F.struct("path", "seq")).alias("_first"))
+    named = joined(places, first.join(known.select("hash", "chunk_id"), "hash", "left"), ["hash"])
     return named.select("path", "seq", "chunk_id", (F.struct("path", "seq") != F.col("_first")).alias("is_ref"))
 
 
 def reassembled(recipe: DataFrame, known: DataFrame) -> DataFrame:
     """Bodies from recipes: path and body; dangling counts chunks that are not in the registry, and the body is then
-    null. A file's chunks meet in one row."""
-    joined = recipe.join(known.select("chunk_id", "payload"), "chunk_id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "payload")))
-    # payloads as hexadecimal text, since only strings can be joined
-    hexed = F.array_join(F.transform(ordered, lambda x: F.hex(x["payload"])), "")
-    missing = F.count_if(F.col("payload").isNull())
-    return joined.groupBy("path").agg(missing.alias("dangling"), hexed.alias("_hex")).select("path", "dangling", F.when(F.col("dangling") == 0, F.unhex("_hex")).alias("body"))
+    null. A task reads its files' chunks in order, and holds one file's at a time."""
+    recipe = settled(recipe.select("path", "seq", "chunk_id"), "recipes")
+    found = joined(recipe, known.select("chunk_id", "payload"), ["chunk_id"], "left").select("path", "seq", "payload")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, parts, dangling = None, [], 0
+        done: list[tuple] = []
+
+        def row() -> tuple:
+            return path, dangling, None if dangling else b"".join(parts)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["path", "dangling", "body"])
+
+        for batch in batches:
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != path and path is not None:
+                    done.append(row())
+                    parts, dangling = [], 0
+                    if sum(len(r[2] or b"") for r in done) > _HELD or len(done) >= 1000:
+                        yield batch_of(done)
+                        done = []
+                path = name
+                if payload is None:
+                    dangling += 1
+                else:
+                    parts.append(payload)
+        if path is not None:
+            yield batch_of([*done, row()])
+
+    ordered = found.repartition("path").sortWithinPartitions("path", "seq").select("path", "payload")
+    return ordered.mapInArrow(put, "path string, dangling long, body binary")
 
 
 def savings(chunks: DataFrame) -> DataFrame:

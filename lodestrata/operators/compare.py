@@ -9,12 +9,17 @@ from ..functions import scalars
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """rel and status of every path of two indexes (rel, size, crc32): only<A, only>B, differ or match."""
+    """rel and status of every path of two indexes (rel, size, crc32): only<A, only>B, differ or match. What has no size or digest on either side can't be told to be the same, so it differs."""
     left, right = (x.select("rel", F.struct("size", "crc32").alias(n)) for x, n in ((a, "a"), (b, "b")))
     status = F.when(F.col("b").isNull(), "only<A").when(F.col("a").isNull(), "only>B").when(F.col("a") != F.col("b"), "differ").otherwise("match")
     return left.join(right, "rel", "full").select("rel", status.alias("status"))
 
 
+def listed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """compare()'s rows in the order in which they are shown: by status, then path."""
+    return compare(a, b).orderBy("status", "rel")
+
+
 def compared_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return compare(a, b).groupBy("status").agg(F.count("*").alias("n"))
 
@@ -30,10 +35,12 @@ def matching(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def verify(archive: DataFrame, live: DataFrame) -> DataFrame:
     """Each archived entry (rel, kind, size, crc32, stored_crc32) against live ones (rel, size, crc32): miss, diff or ok.
-    Entries that are no files only have to be there. Live entries that are not archived are not reported."""
-    seen = live.select("rel", F.col("size").alias("live_size"), F.col("crc32").alias("live_crc32"))
-    unlike = (F.col("size") != F.col("live_size")) | (F.col("crc32") != F.col("live_crc32")) | (F.col("crc32") != F.coalesce("stored_crc32", "crc32"))
-    status = F.when(F.col("live_size").isNull(), "miss").when(scalars.file_like(F.col("kind")) & unlike, "diff").otherwise("ok")
+    crc32 is of the body that the archive gives, stored_crc32 of what it was made from; where that is null, none was
+    stored. A file whose body is missing on either side, so that it has no digest, is a diff. Entries that are no files
+    only have to be there. Live entries that are not archived are not reported."""
+    seen = live.select("rel", F.col("size").alias("live_size"), F.col("crc32").alias("live_crc32"), F.lit(True).alias("_there"))
+    same = (F.col("size") == F.col("live_size")) & (F.col("crc32") == F.col("live_crc32")) & (F.col("crc32") == F.coalesce("stored_crc32", "crc32"))
+    status = F.when(F.col("_there").isNull(), "miss").when(scalars.file_like(F.col("kind")) & ~F.coalesce(same, F.lit(False)), "diff").otherwise("ok")
     return archive.join(seen, "rel", "left").select("rel", status.alias("status"))
 
 

@@ -9,10 +9,12 @@ from ..plans import archive
 
 
 def append_stream(entries: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append each micro-batch of a streaming frame of entries with bodies. Empty ones add nothing."""
+    """Append each micro-batch of a streaming frame of entries with bodies. Empty ones add nothing. A micro-batch that is
+    given again, since the stream ended before it was noted as done, is known by its checkpoint and number and added
+    once."""
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            archive.append(batch, path)
+            archive.append(batch, path, token=f"{checkpoint}#{number}")
 
     return entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
