@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codecs, digests, filters, scalars
@@ -17,7 +17,7 @@ from .functions import fixed, settings
 from .functions.settings import Options
 from .plans import archive
 from .plans.corpus import CORPUS_SQL, corpus
-from .plans.storage import shared_path
+from .plans.storage import settled, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -334,12 +334,13 @@ def j1_compare_counts(spark, sf_dir):
     return compare.compared_counts(*_sides(spark, sf_dir))
 
 
-_VERIFIED = "SELECT rel, CASE WHEN b.size IS NULL THEN 'miss' WHEN a.size <> b.size OR a.crc32 <> b.crc32 OR bad THEN 'diff' ELSE 'ok' END AS status FROM (SELECT *, size % 13 = 5 AS bad FROM a) AS a LEFT JOIN b USING (rel)"
+_VERIFIED = "SELECT rel, CASE WHEN b.size IS NULL THEN 'miss' WHEN a.size <> b.size OR a.crc32 <> b.crc32 OR bad OR unread THEN 'diff' ELSE 'ok' END AS status FROM (SELECT *, size % 13 = 5 AS bad, size % 17 = 3 AS unread FROM a) AS a LEFT JOIN b USING (rel)"
 
 
 def _archived(a: DataFrame) -> DataFrame:
-    """Side A as an archive in which some stored digests are wrong."""
-    return a.withColumn("kind", F.lit(0)).withColumn("stored_crc32", F.when(F.col("size") % 13 == 5, "wrong").otherwise(F.col("crc32")))
+    """Side A as an archive in which some stored digests are wrong and some bodies, being lost, have none."""
+    lost = F.when(F.col("size") % 17 != 3, F.col("crc32"))
+    return a.withColumn("kind", F.lit(0)).withColumn("stored_crc32", F.when(F.col("size") % 13 == 5, "wrong").otherwise(F.col("crc32"))).withColumn("crc32", lost)
 
 
 @query(f"WITH {CORPUS_SQL}, {_SIDES} {_VERIFIED}")
@@ -430,8 +431,8 @@ SELECT position, size, own AS part FROM f WHERE position IS NOT NULL""")
 def k5_split_parts(spark, sf_dir):
     """Documents by id stand for the buffers of one archive."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    position = F.expr("row_number() OVER (ORDER BY doc_id)").cast("long")
-    return ordering.split_parts(docs.select(position.alias("position"), "size"), 200_000)
+    placed = ordering.numbered(docs, [F.col("doc_id")], "position")
+    return ordering.split_parts(placed.select((F.col("position") + 1).alias("position"), "size"), 200_000)
 
 
 # --- heuristics ---
@@ -456,19 +457,46 @@ def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("rel", F.array_join(F.transform("d", lambda x: x["text"]), "\n").cast("binary").alias("body"))
 
 
+_V = """v AS (SELECT coalesce(lang, '') || '/' || doc_id // 100 AS path, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents WHERE text IS NOT NULL GROUP BY 1)"""
+
+
 @query()
 def t1_chunks(spark, sf_dir):
     return chunking.chunked(_volumes(spark, sf_dir)).drop("payload")
 
 
+@query(f"WITH {_V} SELECT path, CAST(strlen(body) AS BIGINT) AS bytes, true AS gapless, true AS bounded FROM v WHERE strlen(body) > 0")
+def t1_chunk_cover(spark, sf_dir):
+    """The chunks of each volume cover it: they follow each other without gaps, and all but the last have lengths in bounds."""
+    chunks = chunking.chunked(_volumes(spark, sf_dir)).select("path", "seq", "offset", "len")
+    w = Window.partitionBy("path").orderBy("seq")
+    told = chunks.withColumn("fits", F.col("offset") == F.coalesce(F.lag(F.col("offset") + F.col("len")).over(w), F.lit(0))).withColumn("ends", F.lead("seq").over(w).isNull())
+    bounded = F.col("ends") | F.col("len").between(fixed.CHUNK_MIN, fixed.CHUNK_MAX)
+    return told.groupBy("path").agg(F.sum("len").alias("bytes"), F.every(F.col("fits")).alias("gapless"), F.every(bounded).alias("bounded"))
+
+
 @query()
 def d6_chunk_registry(spark, sf_dir):
-    return chunking.registry(chunking.chunked(_volumes(spark, sf_dir))).drop("payload")
+    return chunking.registry(settled(chunking.chunked(_volumes(spark, sf_dir)), "chunks")).drop("payload")
+
+
+@query(f"WITH {_V} SELECT count(*) AS files, CAST(sum(strlen(body)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS dangling, true AS gapless_ids, true AS first_seen_in_order FROM v WHERE strlen(body) > 0")
+def d6_t2_recipe_checks(spark, sf_dir):
+    """What recipes and the registry say together: all files and bytes are there, ids have no gaps, and each first sight of
+    a chunk, by path and place, has a greater id than the one before."""
+    chunks = settled(chunking.chunked(_volumes(spark, sf_dir)), "chunks")
+    known = settled(chunking.registry(chunks), "registry")
+    recipe = chunking.recipes(chunks, known).join(known.select("chunk_id", "len"), "chunk_id", "left")
+    n = known.count()
+    firsts = recipe.where("NOT is_ref").select("path", "seq", "chunk_id")
+    ordered = firsts.withColumn("grows", F.col("chunk_id") > F.coalesce(F.lag("chunk_id").over(Window.partitionBy("path").orderBy("seq")), F.lit(-1))).agg(F.every(F.col("grows")).alias("first_seen_in_order"), (F.count_distinct("chunk_id") == n).alias("every"), (F.coalesce(F.max("chunk_id"), F.lit(-1)) == n - 1).alias("top"))
+    whole = recipe.agg(F.count_distinct("path").alias("files"), F.sum("len").cast("long").alias("bytes"), F.count_if(F.col("chunk_id").isNull()).alias("dangling"))
+    return whole.join(F.broadcast(ordered)).select("files", "bytes", "dangling", (F.col("every") & F.col("top")).alias("gapless_ids"), "first_seen_in_order")
 
 
 @query()
 def t2_recipes(spark, sf_dir):
-    chunks = chunking.chunked(_volumes(spark, sf_dir))
+    chunks = settled(chunking.chunked(_volumes(spark, sf_dir)), "chunks")
     return chunking.recipes(chunks, chunking.registry(chunks))
 
 
@@ -476,8 +504,8 @@ def t2_recipes(spark, sf_dir):
 SELECT path, CAST(0 AS BIGINT) AS dangling, sha256(body) AS digest FROM v WHERE strlen(body) > 0""")
 def j5_reassembled(spark, sf_dir):
     """Chunked, deduplicated and put together again."""
-    chunks = chunking.chunked(_volumes(spark, sf_dir))
-    known = chunking.registry(chunks)
+    chunks = settled(chunking.chunked(_volumes(spark, sf_dir)), "chunks")
+    known = settled(chunking.registry(chunks), "registry")
     return chunking.reassembled(chunking.recipes(chunks, known), known).select("path", "dangling", F.sha2("body", 256).alias("digest"))
 
 
@@ -564,6 +592,36 @@ def s6_archive_bodies(spark, sf_dir):
     return archive.bodies(spark, path).select("rel", F.md5("body").alias("digest"))
 
 
+_UNIQUE = f"WITH {CORPUS_SQL}, {_DUPS} SELECT rel, md5(text) AS digest FROM dups WHERE place = 1 UNION ALL SELECT rel, md5('') FROM corpus WHERE size = 0"
+
+
+@query(_UNIQUE)
+def k5_pack_and_read_parts(spark, sf_dir):
+    """An archive in parts of 50,000 stored bytes, read back from them."""
+    path = shared_path(spark, "archive")
+    archive.pack(_packable(spark, sf_dir), path, Options(level=1, split=50_000))
+    return archive.bodies(spark, path).select("rel", F.md5("body").alias("digest"))
+
+
+@query(_UNIQUE)
+def t4_pack_srep(spark, sf_dir):
+    """Bodies read from an archive whose bodies went through the long-range filter before the strongest codec."""
+    path = shared_path(spark, "archive")
+    archive.pack(_packable(spark, sf_dir), path, Options(level=5, preproc="srep"))
+    return archive.bodies(spark, path).select("rel", F.md5("body").alias("digest"))
+
+
+@query(f"""WITH {CORPUS_SQL}, f AS (SELECT doc_id, size FROM corpus ORDER BY {_SOLID} LIMIT 64)
+SELECT CASE WHEN count(*) >= 4 AND count(*) FILTER (WHERE doc_id % 3 = 0) * 10 >= count(*) * 3 THEN 'x86' ELSE 'none' END AS branch, (SELECT count(*) FROM corpus) AS entries, CAST(0 AS BIGINT) AS failed FROM f WHERE size + 2 >= 20""")
+def h1_pack_branch(spark, sf_dir):
+    """The branch filter that a pack chooses by the first entries, every third of which begins with MZ; all are checked."""
+    path = shared_path(spark, "archive")
+    head = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(b"MZ")).otherwise(F.lit(b"--"))
+    rows = _packable(spark, sf_dir).withColumn("body", F.concat(head, "body")).withColumn("size", F.col("size") + 2)
+    archive.pack(rows, path, Options(level=5))
+    return archive.test(spark, path).select(F.lit(archive.meta(spark, path)["branch"] or "none").alias("branch"), "entries", "failed")
+
+
 @query("WITH x AS (SELECT 1) SELECT * FROM (VALUES ('size', '10', 10), ('size', '1.5k', 1536), ('size', '2KiB', 2048), ('size', '3MB', 3145728), ('size', '1T', 1099511627776), ('date', '1584286200', 1584286200), ('date', '2020-03-15', 1584230400), ('date', '1969-12-31', -86400), ('date', '2021-02-31', 1614729600)) AS v(what, given, value)")
 def x7_x8_parsers(spark, sf_dir):
     sizes, dates = ["10", "1.5k", "2KiB", "3MB", "1T"], ["1584286200", "2020-03-15", "1969-12-31", "2021-02-31"]
@@ -580,7 +638,7 @@ def x19_hash_names(spark, sf_dir):
     return spark.createDataFrame([(g or "none", scalars.hash_name(g)) for g in (None, "crc", "CRC32", "xxhash3", "XXH3", "b3", "blake3")], "given string, hash string")
 
 
-@query()
+@query("SELECT DISTINCT coalesce(lang, '') || '/' || doc_id // 100 AS rel, " + ", ".join(f"true AS {b}" for b in fixed.BRANCH_FILTERS) + " FROM documents WHERE text IS NOT NULL")
 def t12_branch_filters(spark, sf_dir):
     """Bytes of bodies under each branch filter of the strongest codec; all read back."""
     rows = _volumes(spark, sf_dir)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars
-from ..plans.storage import settled
+from ..plans.storage import file_system, settled
 
 SCHEMA = "full string, rel string, kind int, is_regular boolean, size long, mtime long, mode long, link_target string, xattrs array<struct<name:binary,value:binary>>"
 #: Bytes of a file that one row holds; folders that the driver opens itself; rows of a batch.
@@ -128,10 +128,11 @@ def manifest(spark: SparkSession, sources: Iterable[str], keep_root: bool = True
 
 def remote(spark: SparkSession, root: str) -> DataFrame:
     """Regular files below a folder of any file system that Hadoop knows, as entries with bodies, read by Spark itself; a
-    file that is too large for a cell is an error there. Folders and links have no rows."""
+    file that is too large for a cell is an error there. Folders and links have no rows, nor have names that begin with . or _."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    rel = F.element_at(F.split("path", F.concat(F.lit("\\Q"), base, F.lit("\\E")), 2), -1)
+    fs, at = file_system(spark, root)
+    base = str(fs.makeQualified(at)).rstrip("/") + "/"
+    rel = F.substring("path", len(base) + 1, 1 << 20)
     rows = found.select(F.col("path").alias("full"), rel.alias("rel"), F.lit(0).alias("kind"), F.lit(True).alias("is_regular"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), F.lit(None).cast("long").alias("mode"), F.lit("").alias("link_target"), F.col("content").alias("body"))
     return rows.withColumn("ext", scalars.extension(F.col("rel")))
 

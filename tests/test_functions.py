@@ -3,6 +3,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings as hypothesis_settings
@@ -71,6 +72,52 @@ def test_blake3_published_values():
     assert len({digests.blake3(bytes(n)) for n in (63, 64, 65, 1023, 1024, 1025, 2048, 3073)}) == 8
 
 
+def test_blake3_of_pieces_and_of_many():
+    rng = random.Random(6)
+    each = [rng.randbytes(n) for n in (0, 1, 64, 1023, 1024, 1025, 2048, 4096, 5000, 31 * 1024, 70_001)]
+    whole = digests.blake3_each(each)
+    assert whole == [digests.blake3(b) for b in each]
+    for name in ("blake3", "xxh3", "crc32", "sha256"):
+        for b, digest in zip(each, whole, strict=True):
+            state, at = digests.Streamed(name), 0
+            while at < len(b):
+                n = rng.randint(1, 3000)
+                state.update(b[at : at + n])
+                at += n
+            expected = {"blake3": digest, "xxh3": struct.pack("<Q", xxhash.xxh3_64_intdigest(b)), "crc32": struct.pack("<I", zlib.crc32(b)), "sha256": hashlib.sha256(b).digest()}
+            assert state.digest() == expected[name]
+
+
+def test_lzp_is_the_rule_position_by_position():
+    """The encoder against the rule told one position after another."""
+
+    def by_position(data):
+        found, at, last = [], 0, {}
+        i = fixed.LZP_CONTEXT
+        while i < len(data):
+            slot = int(filters._contexts(np.frombuffer(data[i - 8 : i], np.uint8))[0])
+            j = last.get(slot, -1)
+            last[slot] = i
+            n = 0
+            if j >= 0 and j + fixed.LZP_MATCH <= i:
+                while n < min(len(data) - i, i - j) and data[j + n] == data[i + n]:
+                    n += 1
+            if n >= fixed.LZP_MATCH:
+                found.append((i, n))
+                i += n
+            else:
+                i += 1
+        out, at = [struct.pack("<Q", len(data))], 0
+        for start, n in found:
+            out += [filters.put_varint(start - at), data[at:start], filters.put_varint(n)]
+            at = start + n
+        return b"".join([*out, filters.put_varint(len(data) - at), data[at:], filters.put_varint(0)])
+
+    for b in blobs():
+        if len(b) < 20_000:
+            assert filters.lzp_encode(b) == by_position(b)
+
+
 def blobs():
     rng = random.Random(5)
     noise = bytes(rng.randrange(256) for _ in range(8192))
@@ -146,6 +193,8 @@ def test_settings():
     assert settings.ppmd_settings(5) == settings.ppmd_settings(10) == (16, 256) and settings.ppmd_settings(8) == (10, 192)
     assert settings.backend(Options(level=4)) == "zstd" and settings.backend(Options(level=5)) == "lzma" and settings.backend(Options(level=9, backend="ppmd")) == "ppmd"
     assert settings.preprocessor("lzma", 2 << 30) == "srep" and settings.preprocessor("zstd", 2 << 30) == "none"
+    assert settings.knobs(lambda k, d: {"lodestrata.lzma.lc": " 3 ", "lodestrata.lzma.nice": "x"}.get(k, d)) == settings.KNOBS | {"lzma.lc": 3}
+    assert settings.ppmd_settings(7, order=40) == (16, 128) and settings.preproc(Options(level=5, delta=1), 2 << 30) == "none" and settings.preproc(Options(level=5), 2 << 30) == "srep"
     assert settings.parallelism(None, 1 << 20, 8) == 1 and settings.parallelism(None, 1 << 30, 8) == 8 and settings.parallelism(3, 0, 8) == 3
     assert scalars.hash_name(" XXHASH3 ") == "xxh3" and scalars.hash_name(None) == "crc32"
 

@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import fixed
+from lodestrata.functions import fixed, messages
 from lodestrata.functions.settings import Options
 from lodestrata.operators import chunking, compare, dedup, heuristics, inventory, ordering, selectors
-from lodestrata.plans import archive
+from lodestrata.plans import archive, storage
 from lodestrata.sources import manifest
 from lodestrata.streaming.append import append_stream
 
@@ -242,3 +242,189 @@ def test_sources(spark, tree, tmp_path):
     for k in (1, 2):
         (tmp_path / f"whole.{k:03d}").write_bytes(b"x")
     assert len(manifest.parts(str(tmp_path / "whole"))) == 2
+
+
+# --- what must hold at any size ---
+
+
+def test_numbers_are_gapless_at_any_size(spark):
+    """Many rows, more ranges than tasks, and a wide column that only some branches of a plan read."""
+    n, before = 1_000_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(n).select(F.concat(F.lit("d"), (F.col("id") % 97).cast("string"), F.lit("/"), F.sha1(F.col("id").cast("string"))).alias("rel"), F.lit(0).alias("kind"), F.lit("").alias("ext"), (F.col("id") % 7).alias("size"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        placed = ordering.solid_position(rows)
+        assert tuple(placed.agg(F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position"), F.count_distinct("wide")).first()) == (n, n, 0, n - 1, n)
+        chunks = spark.range(n).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("offset"), F.lit(6).alias("len"), F.sha1((F.col("id") % 600_000).cast("string")).alias("hash"), (F.col("id") % 600_000).cast("string").cast("binary").alias("payload"))
+        known = storage.settled(chunking.registry(chunks), "registry")
+        assert tuple(known.agg(F.count("*"), F.count_distinct("chunk_id"), F.max("chunk_id")).first()) == (600_000, 600_000, 599_999)
+        back = chunking.reassembled(chunking.recipes(chunks, known), known)
+        assert tuple(back.agg(F.count("*"), F.sum("dangling"), F.count_if(F.expr("cast(body AS string) <> cast(cast(substring(path, 2) AS long) % 600000 AS string)"))).first()) == (n, 0, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_order_of_positions(spark):
+    rng = random.Random(4)
+    rows = [entry(f"{rng.choice('aB')}/{rng.choice('cD')}{i}.{rng.choice(['txt', 'MD', 'x'])}", rng.randrange(4), rng.choice([0, 0, 1, 2])) for i in range(500)]
+    got = {r.rel: r.position for r in ordering.solid_position(spark.createDataFrame(rows, ENTRY)).collect()}
+    key = lambda r: ({1: 0, 2: 1}.get(r[2], 2), r[6], r[0].rsplit("/", 1)[0].lower(), r[4], r[0].lower(), r[0])
+    assert got == {r[0]: k for k, r in enumerate(sorted(rows, key=key))}
+
+
+@pytest.mark.parametrize("limit", [1, 50, 900, 10**9])
+def test_split_is_the_fold(spark, limit):
+    rng = random.Random(limit)
+    sizes = [rng.choice([0, 1, 30, 200, 2000]) for _ in range(3000)]
+    part, grown, expected = 1, 0, []
+    for n in sizes:
+        expected.append(part)
+        grown += n
+        if grown > limit:
+            part, grown = part + 1, 0
+    writes = spark.createDataFrame([(k + 1, n) for k, n in enumerate(sizes)], "position long, size long").repartition(5)
+    assert [r.part for r in ordering.split_parts(writes, limit).orderBy("position").collect()] == expected
+    assert ordering.split_parts(writes.limit(0), limit).count() == 0
+
+
+def test_a_hot_key_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(storage, "HOT", 50)
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}") for i in range(2000)] + [(9999, "none")], "id long, key string")
+    table = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(40))], "key string, v int")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, storage.joined(rows, table, ["key"], how).select("id", "key", "v").collect()))
+        assert got == sorted(map(tuple, rows.join(table, "key", how).select("id", "key", "v").collect()))
+
+
+def test_contents_without_a_digest_are_equal_to_nothing(spark):
+    rows = spark.createDataFrame([entry("a", 5), entry("b", 5), entry("c", 7), entry("d", 7)], ENTRY)
+    digest = F.when(F.col("size") == 7, "same")
+    assert [r.keep for r in dedup.groups(rows, digest).collect()] == ["c"]
+    assert {r.rel for r in dedup.members(rows, digest).collect()} == {"c", "d"} and dedup.duplicates(rows, digest).count() == 1
+    a = spark.createDataFrame([("x", 0, 1, None, None), ("y", 0, 1, 5, None), ("d", 1, 0, None, None)], "rel string, kind int, size long, crc32 long, stored_crc32 long")
+    live = spark.createDataFrame([("x", 1, 5), ("y", 1, None), ("d", 0, 0)], "rel string, size long, crc32 long")
+    assert {r.rel: r.status for r in compare.verify(a, live).collect()} == {"x": "diff", "y": "diff", "d": "ok"}
+    assert {r.rel: r.status for r in compare.compare(a.where("kind = 0"), live).collect()} == {"x": "differ", "y": "differ", "d": "only>B"}
+
+
+def test_a_chunk_that_is_not_known_dangles(spark):
+    chunks = spark.createDataFrame([("a", 0, 0, 1, "h1", b"x"), ("a", 1, 1, 1, "h2", b"y"), ("b", 0, 0, 1, "h2", b"y")], chunking.CHUNKS)
+    known = chunking.registry(chunks).where("hash = 'h1'")
+    got = {r.path: (r.dangling, r.body) for r in chunking.reassembled(chunking.recipes(chunks, known), known).collect()}
+    assert got == {"a": (1, None), "b": (1, None)}
+
+
+@pytest.mark.parametrize("options, algo", [(Options(level=1), "blake3"), (Options(level=1, chunked=True), "xxh3"), (Options(store=True, delta=4), None)])
+def test_large_files_go_in_pieces(spark, tree, tmp_path, options, algo):
+    path, out = f"file://{tmp_path}/archive", tmp_path / "out"
+    (tree / "large.bin").write_bytes(noise(6, 100_001))
+    (tree / "large too.bin").write_bytes(noise(6, 100_001))
+    rows = manifest.with_bodies(manifest.manifest(spark, [str(tree)]), piece=10_000)
+    archive.pack(rows, path, options, algo)
+    stored = archive.entries(spark, path)
+    assert stored.where("rel LIKE '%large%' AND kind = 3").count() == 1 and stored.where("rel LIKE '%large%' AND kind = 0").first().pieces == 11
+    assert archive.test(spark, path).first().failed == 0 and archive.verify(spark, path, str(tmp_path)).where("status <> 'ok'").count() == 0
+    out.mkdir()
+    archive.extract(spark, path, str(out))
+    assert same_tree(tree, out / "src")
+
+
+def test_missing_bodies_are_errors(spark, tree, tmp_path):
+    path, every = f"file://{tmp_path}/archive", manifest.manifest(spark, [str(tree)])
+    os.remove(tree / "copy.bin")
+    (tree / "image.jpg").write_bytes(b"shorter")
+    rows = manifest.with_bodies(every)
+    assert {r.rel for r in rows.where("is_regular AND body IS NULL").collect()} == {"src/copy.bin", "src/image.jpg"}
+    with pytest.raises(ValueError, match="can't be read"):
+        archive.pack(rows, path)
+    assert not os.path.exists(tmp_path / "archive")
+    archive.pack(rows.where("body IS NOT NULL OR NOT is_regular"), path, Options(level=1))
+    folder = next((tmp_path / "archive/bodies").iterdir())
+    kept = spark.read.parquet(f"file://{folder}").where("rel NOT LIKE '%.hidden'").collect()
+    schema = spark.read.parquet(f"file://{folder}").schema
+    spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"file://{folder}")
+    assert archive.test(spark, path).first().failed_paths == ["src/.hidden"]
+    with pytest.raises(Exception, match="no whole body of src/.hidden"):
+        archive.extract(spark, path, str(tmp_path / "out"))
+
+
+def test_batches_count_from_the_moment_they_are_named(spark, tree, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/archive"
+    rows = manifest.with_bodies(manifest.manifest(spark, [str(tree / "*.txt")]))
+    archive.pack(rows, path, Options(level=1))
+    own = archive._commit
+    monkeypatch.setattr(archive, "_commit", lambda *a: 1 / 0)
+    for again in (lambda: archive.append(rows, path), lambda: archive.pack(rows, path)):
+        with pytest.raises(ZeroDivisionError):
+            again()
+        assert archive.entries(spark, path).count() == 1 and archive.bodies(spark, path).count() == 1
+    monkeypatch.setattr(archive, "_commit", own)
+    assert archive.append(rows, path, token="t#4") == 1 and archive.append(rows, path, token="t#4") == 1
+    # another writer has taken the next number, and never came to its end
+    (tmp_path / "archive/meta/batch-000002.taken").touch()
+    assert archive.append(rows, path) == 3 and archive.entries(spark, path).count() == 3
+    assert [b["batch"] for b in archive.batches(spark, path)] == [0, 1, 3]
+    monkeypatch.setattr(archive, "_move", lambda spark, made, to, own=archive._move: 1 / 0 if ".tmp-" in made else own(spark, made, to))
+    with pytest.raises(ZeroDivisionError):  # the new one can't be moved into place; the old one comes back
+        archive.pack(rows, path)
+    assert archive.entries(spark, path).count() == 3
+
+
+def test_other_formats_are_refused(spark, tree, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    with pytest.raises(FileNotFoundError):
+        archive.entries(spark, path)
+    archive.pack(manifest.with_bodies(manifest.manifest(spark, [str(tree / "hello.txt")])), path, Options(level=1))
+    at = tmp_path / "archive/meta/batch-000000.json"
+    good = at.read_text()
+    for old, new in (("archive 2", "archive 1"), ('"zstd"', '"brotli"'), ('"crc32"', '"md5"')):
+        at.write_text(good.replace(old, new))
+        (tmp_path / "archive/meta/.batch-000000.json.crc").unlink(missing_ok=True)
+        with pytest.raises(ValueError):
+            archive.entries(spark, path)
+
+
+def test_parts_replace_what_was_there(spark, tree, tmp_path):
+    path, out = f"file://{tmp_path}/archive", tmp_path / "out"
+    rows = manifest.with_bodies(manifest.manifest(spark, [str(tree)]))
+    archive.pack(rows, path, Options(level=1))
+    made = archive.pack(rows, path, Options(store=True, split=20_000))
+    assert made["parts"] == len(manifest.parts(str(tmp_path / "archive"))) == 4 and not (tmp_path / "archive").exists()
+    assert archive.test(spark, path).first().failed == 0
+    with pytest.raises(ValueError):
+        archive.append(rows, path)
+    assert archive.pack(rows, path, Options(store=True, split=70_000))["parts"] == 3 and not (tmp_path / "archive.004").exists()
+    out.mkdir()
+    archive.extract(spark, path, str(out))
+    assert same_tree(tree, out / "src")
+    archive.pack(rows, path, Options(level=1))
+    assert archive.roots(spark, path) == [path] and not (tmp_path / "archive.001").exists()
+
+
+def test_counters_knobs_and_messages(spark, tree, tmp_path):
+    path, said = f"file://{tmp_path}/archive", messages.Messages()
+    (tree / "twice.bin").write_bytes(noise(3, 3_000_000))
+    rows = manifest.with_bodies(manifest.manifest(spark, [str(tree)]))
+    got = archive.pack(rows, path, Options(level=1, branch="arm"), messages=said)
+    assert got["entries"] == archive.entries(spark, path).count() and got["stored"] >= 3_000_000 and got["bytes"] > got["stored"] // 2 and said.warnings == 1
+    assert said.error("no") == "00001! no" and said.warning("hm") == "00002: hm"
+    spark.conf.set("lodestrata.lzma.block", "1")
+    try:
+        archive.pack(rows, path, Options(level=5))
+    finally:
+        spark.conf.unset("lodestrata.lzma.block")
+    assert archive.meta(spark, path)["knobs"]["lzma.block"] == 1 and archive.test(spark, path).first().failed == 0
+
+
+def test_the_walk_goes_on_in_tasks(spark, tree, monkeypatch):
+    whole = sorted(map(tuple, manifest.manifest(spark, [str(tree)]).drop("xattrs").collect()), key=str)
+    monkeypatch.setattr(manifest, "OPENED", 1)
+    assert sorted(map(tuple, manifest.manifest(spark, [str(tree)]).drop("xattrs").collect()), key=str) == whole
+    far = {r.rel: (r.size, bytes(r.body)) for r in manifest.remote(spark, f"file://{tree}").select("rel", "size", "body").collect()}
+    assert far["nested/deep/b.bin"] == (32_768, b"abcdefgh" * 4096) and far["hello.txt"][1] == b"Hello, world!\n" and len(far) >= 6
+
+
+@pytest.mark.parametrize("bad", [Options(append=True), Options(stdout=True), Options(chunked=True, split=5), Options(preproc="srep"), Options(level=5, preproc="zip"), Options(level=5, backend="ppmd"), Options(level=5, branch="z80"), Options(split=0)])
+def test_options_that_a_pack_refuses(spark, tree, tmp_path, bad):
+    with pytest.raises(ValueError):
+        archive.pack(manifest.with_bodies(manifest.manifest(spark, [str(tree / "hello.txt")])), f"file://{tmp_path}/archive", bad)
