@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import storage
+
 #: Bytes of text that one vectorised step handles; temporaries are about 30 times as large.
 SLICE_BYTES = 2 << 20
 
@@ -35,40 +35,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    bound_batches(spark)
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        configured = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares; what is there goes when the application ends."""
+    bound_batches(spark)
+    return storage.shared_path(spark, what)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this application's operators have written to shared storage. Frames that are not yet read, and media
-    shards under the default folder, are lost with it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def dropped(spark: SparkSession, path: str) -> None:
+    storage.dropped(spark, path)
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
+def settled(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """The rows written to shared storage once and read back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, what)
+    path = path or fresh_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that may be hot at once, and rows up to which no key is.
+HUBS, COLD = 1_000, 32
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, by: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to a table of one row a key, whose column n (left out of the result) says how many of the `total` rows
+    have that key. A key with more than total / HUBS of them is hot: there are HUBS at most, so their part of the table is
+    broadcast and their rows stay where they are; only the others are dealt out by their key. Both are read twice, so
+    they are to be written tables, or cheap."""
+    most = max(COLD, total // HUBS)
+    hot = table.where(f"`{n}` > {most}").drop(n)
+    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(table.where(f"`{n}` <= {most}").drop(n), by, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), by))
+
+
 def wanted(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; other columns, whatever their names, are left out."""
     return df.select(*(df[f"`{name}`"].cast(kind).alias(name) for name, kind in types.items()))
@@ -206,7 +205,15 @@ def read_bytes(path: str) -> bytes:
         return source.read()
 
 
+#: Names under which Hadoop knows file systems that have another one here.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def filesystem(path: str):
+    """The file system of a URI, for tasks, and the path in it: local files, HDFS, S3, GCS and Azure by Hadoop's names."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else ("file://" + path.removeprefix("file:")))
+    scheme, _, rest = path.partition("://")
+    if not rest:
+        return fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")

@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating stars; every round is a join and an aggregation."""
+"""Connected components of an edge table by alternating stars; every round is two joins and two aggregations."""
 
 from __future__ import annotations
 
@@ -8,29 +8,46 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """Each node's neighbours, or only those above it, are tied to the least node around it."""
+def _tied(rows: DataFrame, n: int, what: str) -> tuple[DataFrame, str]:
+    """rows (u, v) with m, the least of u and all v beside it; and where the table of these is. A node with very many
+    neighbours is found by partial aggregation, and its least is sent to the tasks that have its rows."""
+    path = common.fresh_path(rows.sparkSession, what)
+    least = common.settled(rows.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), what, path)
+    return common.dealt_join(rows, least, ["u"], "n", n), path
+
+
+def _star(edges: DataFrame, n: int, what: str) -> tuple[DataFrame, str]:
+    """Each node's greater neighbours are tied to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # the edge from u to its own least neighbour stays, those to greater ones move to the least
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return large.where("u <> v").distinct()
+    tied, path = _tied(both, 2 * n, what)
+    large = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return large.where("u <> v").distinct(), path
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int, what: str) -> tuple[DataFrame, str]:
     """Every edge (u, v), u > v: u and its smaller neighbours are tied to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return tied.where("u <> v").distinct()
+    tied, path = _tied(edges, n, what)
+    low = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v")))
+    return low.where("u <> v").distinct(), path
 
 
 def components(edges: DataFrame, what: str) -> DataFrame:
     """(id, root) for every node of edges (u long, v long): root is the least id that it reaches.
-    Loops, repeated edges and edges with a null end are allowed and add nothing."""
-    now = common.settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), what)
+    Loops, repeated edges and edges with a null end are allowed and add nothing. Tables of earlier rounds are deleted."""
+    spark = edges.sparkSession
+    path = common.fresh_path(spark, what)
+    now = common.settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), what, path)
     before = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before or not seen[0]:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        before, now = seen, common.settled(_small(_star(now)), what)
+        large, first = _star(now, seen[0], what)
+        middle = common.fresh_path(spark, what)
+        large = common.settled(large, what, middle)
+        after = common.fresh_path(spark, what)
+        small, second = _small(large, 2 * seen[0], what)  # as many rows at most
+        before, now = seen, common.settled(small, what, after)
+        for done in (path, first, middle, second):
+            common.dropped(spark, done)
+        path = after

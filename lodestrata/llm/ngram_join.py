@@ -1,16 +1,21 @@
 """Self join of documents on the Jaccard similarity of their word n-gram sets, by prefix trees.
 
+Equal sets are collapsed first and counted; one document stands for each set from there on, and the others are looked up
+at the end, so groups of copies cost no pairs, no edges and no join on a hot key.
+
 Sets are kept in one global order, that of their n-grams' hashes. Two sets of sizes a <= b that link differ in at most
 D = (a + b) (100 - p) / (100 + p) n-grams. The order is cut into more than D arcs, and the sets are stored in a forest
 with one tree for each arc: the path below the root of tree i is a set's n-grams of arc i. Two sets that link share the
 whole path of some arc, so they meet in one node there. The forest's nodes are dealt out by the hash of their path, in
-one shuffle, after each task has tied the sets that it sees in a node to the least of them. A set that shares too few
-nodes, such as those of a passage which many documents quote, can have no partner and is left out there. Sets that meet anywhere fall into one block (the components of "meet"). Within a block the sets are
-stored in a trie, and each is joined by one traversal that shares the overlap of common paths and prunes subtrees by
-the bounds on their sets' sizes and remaining lengths; the overlap at the node where a set ends is exact.
-
-Equal sets are collapsed before that and counted, so groups of copies cost no pairs. Blocks of more than CHUNK n-grams
-are cut into chunks and joined chunk by chunk, in tasks of bounded size.
+one shuffle; a set that meets others in a node within its task is known to share it, and needs no place beside them. A
+set that shares too few nodes, such as those of a passage which many documents quote, can have no partner and is left
+out. What stays is tied to the least set that stays in the node, and sets that are tied fall into one block.
+
+A block is cut by the necessary prefixes of its sets, in the order of rarity within it (two sets that link share an n-gram
+among the first of each), so that sets which only common n-grams tie don't meet. The sets of each part, two or many, are
+stored in a trie, and each is joined by one traversal that shares the overlap of common paths and prunes subtrees by the
+bounds on their sets' sizes and remaining lengths; the overlap at the node where a set ends is exact. Blocks of more than
+CHUNK n-grams are cut into chunks and joined chunk by chunk, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -29,9 +34,6 @@ from .components import components
 #: N-grams of one chunk of a block, forest entries that a task ties at once, and rows of block members, one for each chunk
 #: of their block, to broadcast.
 CHUNK, TIED, BROADCAST = 1 << 21, 2 << 20, 250_000
-#: Sets from which a node is hot. With 2 every shared node is: a set that shares fewer nodes than it can spare with any
-#: others at all has no partner.
-HOT = 2
 #: Sizes of one class differ by this factor at most; each class has its own arcs.
 CLASS = 1.5
 TABLE = common.fold_table(bytes([0x20, *range(0x09, 0x0E)]))
@@ -227,46 +229,35 @@ def parts(sets: list[np.ndarray], percent: int) -> list[list[int]]:
 
 def block_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """All pairs of distinct sets that link."""
-    if len(sets) > 2:
-        each = parts(sets, percent)
-        if len(each) > 1:
-            return [(own[i], own[j]) for own in each if len(own) > 1 for i, j in _part_links([sets[k] for k in own], percent)]
-    return _part_links(sets, percent)
+    return [(own[i], own[j]) for own in parts(sets, percent) if len(own) > 1 for i, j in _part_links([sets[k] for k in own], percent)]
 
 
 def _part_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    if len(sets) == 2:
-        a, b = sets
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return [(0, 1)] if (100 + percent) * both >= percent * (len(a) + len(b)) else []
     trie = Trie(sets)
     return [(trie.order[k], trie.order[int(j)]) for k, own in enumerate(trie.sets) for j in trie.partners(own, percent, k)]
 
 
 def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, id, tied, times, form, spare): a set in a node. Where a task sees HOT sets or more in a node, all but the
-    least are tied to it there and then, under keys of their own, and the least stands for `times` sets."""
+    """(key, node, id, set, form, spare, met): a set in a node; set is a hash of it. Where a task sees several sets in a
+    node, all are known to have met; all but the least get keys of their own, so that a node's rows are one for each task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_: list[tuple[np.ndarray, int, int, int]] = []
-        seen: set[tuple[int, int]] = set()
+        parts_: list[tuple[np.ndarray, int, int, int, int]] = []
         classes = size_classes(1024)
 
         def flush() -> pa.RecordBatch:
             length = np.array([len(x[0]) for x in parts_])
             node = np.concatenate([x[0] for x in parts_])
-            own, form, spare = (np.repeat(np.array([x[k] for x in parts_], np.int64), length) for k in (1, 2, 3))
+            own, form, spare, same = (np.repeat(np.array([x[k] for x in parts_], np.int64), length) for k in (1, 2, 3, 4))
             by = np.lexsort((own, node))
-            node, own, form, spare = node[by], own[by], form[by], spare[by]
+            node, own, form, spare, same = node[by], own[by], form[by], spare[by], same[by]
             head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             many = np.diff(np.concatenate([head, [len(node)]]))
-            least, count = np.repeat(own[head], many), np.repeat(many, many)
+            met = np.repeat(np.minimum.reduceat(same, head) != np.maximum.reduceat(same, head), many)
             is_head = np.zeros(len(node), bool)
             is_head[head] = True
-            tied = (count >= HOT) & ~is_head
-            key = np.where(tied, common.mixed(own.astype(_U) * _U(31) + node), node)
-            times = np.where((count >= HOT) & is_head, count, 1)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(least, mask=~tied), pa.array(times.astype(np.int32)), pa.array(form.astype(np.int16)), pa.array(spare.astype(np.int32))], names=["node", "id", "tied", "times", "form", "spare"])
+            key = np.where(met & ~is_head, common.mixed(own.astype(_U) * _U(31) + node), node)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(own), pa.array(same), pa.array(form.astype(np.int16)), pa.array(spare.astype(np.int32)), pa.array(met)], names=["key", "node", "id", "set", "form", "spare", "met"])
 
         held = 0
         for batch in batches:
@@ -277,12 +268,8 @@ def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
                         continue
                     if len(own) >= classes[-1]:
                         classes = size_classes(len(own) * 2)
-                    twin = fingerprint(own)
-                    if twin in seen:  # equal sets are tied elsewhere
-                        continue
-                    seen.add(twin)
                     for form, nodes, spare in tree_nodes(own, percent, classes):
-                        parts_.append((nodes, int(doc[first + k]), form, spare))
+                        parts_.append((nodes, int(doc[first + k]), form, spare, fingerprint(own)[1]))
                         held += len(nodes)
                     if held >= TIED:
                         yield flush()
@@ -290,18 +277,18 @@ def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
         if parts_:
             yield flush()
 
-    return rows.mapInArrow(emit, "node long, id long, tied long, times int, form short, spare int")
+    return rows.mapInArrow(emit, "key long, node long, id long, set long, form short, spare int, met boolean")
 
 
 def _meetings(forest: DataFrame) -> DataFrame:
-    """(u, v): sets that may link are tied together through these. A hot node, with HOT sets or more, is left out by a
-    set that has fewer hot nodes than it can spare: with any partner it then shares another node. Hot or not is the same
-    for both, so what both must keep stays."""
-    # a node's rows are bounded by HOT for each task
-    met = forest.selectExpr("id", "form", "spare", "coalesce(tied, min(id) OVER (PARTITION BY node)) AS root", "tied IS NOT NULL AS early", "sum(times) OVER (PARTITION BY node) AS sets")
-    met = met.where("early OR sets > 1").selectExpr("id", "form", "spare", "root", f"early OR sets >= {HOT} AS hot")
-    kept = met.selectExpr("id", "root", "hot", "spare", "count_if(hot) OVER (PARTITION BY id, form) AS n_hot").where("NOT hot OR n_hot >= spare")
-    return kept.where("id <> root").selectExpr("id AS u", "root AS v").distinct()
+    """(u, v): sets that may link are tied together through these. A set that shares fewer nodes with any others than it
+    can spare is left out: with a partner it would share more. Shared or not is the same for both partners, so what both
+    must keep stays, and is tied to the least of those that stay."""
+    met = forest.selectExpr("node", "id", "form", "spare", "met OR min(set) OVER (PARTITION BY key) <> max(set) OVER (PARTITION BY key) AS met").where("met")
+    kept = met.selectExpr("node", "id", "spare", "count(*) OVER (PARTITION BY id, form) AS shared").where("shared >= spare").select("node", "id")
+    kept = common.settled(kept, "kept")
+    least = common.settled(kept.groupBy("node").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1"), "least")
+    return common.dealt_join(kept, least, ["node"], "n", kept.count()).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -325,11 +312,19 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     measured = common.settled(rows.mapInArrow(measure, SETS), "sets")
     key = ["n_shingles", "f1", "f2"]
     some = measured.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    n_some = some.count()
     classes = common.settled(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copies = some.join(classes.where("copies > 1"), key).select("doc_id", *key, "rep")
+    several = classes.where("copies > 1").withColumn("n", F.col("copies"))
+    copies = common.settled(common.dealt_join(some, several, key, "n", n_some).where("doc_id <> rep").select("doc_id", "rep"), "copies")
+
+    # rows that share an id, with texts that differ, count as one
+    several_sets = some.select("doc_id", *key).distinct().groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id")
+    same_id = some.join(several_sets, "doc_id", "left_semi").select("doc_id", *key).distinct()
+    aliases = common.settled(same_id.join(classes, key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v"), "aliases")
 
-    meet = _meetings(_forest(rows.where("doc_id IS NOT NULL"), n, percent))
-    blocks = components(meet.unionByName(copies.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), "blocks")
+    first = rows.where("doc_id IS NOT NULL").join(common.small(copies.select("doc_id").distinct()), "doc_id", "left_anti")
+    first = first if not aliases.limit(1).count() else rows.where("doc_id IS NOT NULL")  # an id may stand for one set and be a copy of another
+    blocks = components(_meetings(_forest(first, n, percent)).unionByName(aliases), "blocks")
 
     # only one document of each set goes on
     members = classes.join(blocks, F.col("rep") == F.col("id")).select("rep", *key, "copies", F.col("root").alias("block"))
@@ -387,18 +382,18 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     linked = common.settled(dealt.mapInArrow(join_blocks, "u long, v long, links long"), "links")
     counted = linked.groupBy("u").agg(F.sum("links").alias("links"))
-    # a block in one piece is done; only cut blocks, or repeated ids, need their pieces tied together
-    ties = linked.select("u", "v").unionByName(copies.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    repeated = bool(some.groupBy("doc_id").count().where("count > 1").limit(1).count())
-    base = measured.join(classes.withColumnRenamed("copies", "n_same"), key, "left")
-    if split or repeated:
-        root = components(ties, "final")
-        base = base.join(root, F.col("doc_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("root", "doc_id"))
-        base = base.join(counted, F.col("rep") == F.col("u"), "left")
+    # a block in one piece is done; only cut blocks, or ids of several sets, need their pieces tied together
+    if split or aliases.limit(1).count():
+        roots = components(linked.select("u", "v").unionByName(aliases), "final").withColumnRenamed("id", "u")
     else:
-        roots = linked.select("u", "v").withColumnRenamed("v", "root").distinct().join(counted, "u")
-        base = base.join(roots, F.col("rep") == F.col("u"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
-    return base.select("doc_id", "n_shingles", F.when(F.col("rep").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("n_same") - 1).cast("long").alias("n_links"), "component_id")
+        roots = linked.select("u", F.col("v").alias("root")).distinct()
+    told = classes.join(roots.join(counted, "u", "full").select(F.col("u").alias("rep"), "root", "links"), "rep", "left")
+    told = common.settled(told.select(*key, F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "copies"), "told")
+    done = common.dealt_join(some, told, key, "copies", n_some).select("doc_id", "n_shingles", F.col("links").cast("long").alias("n_links"), F.col("root").alias("component_id"))
+    # what has no n-grams, or no id, links with nothing; an id with other rows that do is still one node
+    rest = measured.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"))
+    known = done.select("doc_id", "component_id").where("component_id <> doc_id").distinct()
+    return done.unionByName(rest.join(known, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).select(*done.columns))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
