@@ -17,7 +17,7 @@ from .functions import fixed, settings
 from .functions.settings import Options
 from .plans import archive
 from .plans.corpus import CORPUS_SQL, corpus
-from .plans.storage import settled, shared_path
+from .plans.storage import settled, shared_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).withColumn("body", F.col("text").cast("binary"))
+    return spread(corpus(spark, sf_dir)).withColumn("body", F.col("text").cast("binary"))
 
 
 # --- aggregations ---
@@ -561,7 +561,7 @@ def c1_codec_ratios(spark, sf_dir):
 
 def _packable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as entries of an archive; null texts are empty files."""
-    rows = corpus(spark, sf_dir).withColumn("body", F.coalesce("text", F.lit("")).cast("binary"))
+    rows = spread(corpus(spark, sf_dir)).withColumn("body", F.coalesce("text", F.lit("")).cast("binary"))
     return rows.select("full", "rel", "kind", "is_regular", "size", "mtime", F.lit(0o644).alias("mode"), F.lit("").alias("link_target"), "ext", "body", "doc_id")
 
 

@@ -42,6 +42,13 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as there are cores, twice, if a scan gives fewer: for work on few but costly rows. A
+    scan of a large table has more, and stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def joined(rows: DataFrame, table: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """rows joined to a table that has one row a key, where any number of rows may have one key; both settled, or cheap
     to read. A key of more rows than HOT is cut: its rows are dealt out by their hash, and its row of the table is
