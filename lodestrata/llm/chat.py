@@ -35,7 +35,8 @@ def text_part(text: Column) -> Column:
 
 
 def visited(part: Column) -> Column:
-    """(text, ref, tokens) of a part. Unknown types are kept as placeholders of one token; a null part is an empty text."""
+    """(text, attachment, tokens) of a part: a text is escaped, any other part's text is the head of its placeholder, to
+    which formatted() adds its place. Unknown types are kept as placeholders of one token; a null part is an empty text."""
     kind = F.coalesce(part["type"], F.lit("text"))
     body = escaped(F.coalesce(part["text"], F.lit("")))
     whole = lambda x, least=1: F.greatest(F.lit(least).cast("long"), F.coalesce(x, F.lit(0)).cast("long"))
@@ -46,20 +47,30 @@ def visited(part: Column) -> Column:
         .when(kind == "document", whole(part["pages"] * TOKENS_A_PAGE))
         .otherwise(F.lit(1).cast("long"))
     )
-    place = F.concat(F.lit("[PART:"), escaped(kind), F.lit("]"))
+    place = F.concat(F.lit("[PART:"), escaped(kind), F.lit(":"))
     return F.struct(F.when(kind == "text", body).otherwise(place).alias("text"), F.when(kind != "text", F.struct(kind.alias("type"), part["ref"].alias("ref"), tokens.alias("tokens"))).alias("attachment"), tokens.alias("tokens"))
 
 
 def formatted(messages: DataFrame) -> DataFrame:
     """Per conversation of messages (conv_id, turn, role, parts array<PART>): conv_id, formatted (one string), mask
-    (array of the first character, from 1, and length of each assistant body in it), attachments (type, ref, tokens in
-    the order of their placeholders), n_tokens (with placeholders expanded).
+    (array of the first character, from 1, and length of each assistant body in it), attachments (turn, type, ref, tokens in
+    the order of their placeholders, which name their places from 1), n_tokens (with placeholders expanded).
 
     Rows are ordered by turn, nulls first; ties by role and then parts. A null role is an empty one, null parts are
     none. A null conv_id is a conversation of its own. A conversation's rows meet in one string, as its format asks."""
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visited).alias("parts"))
-    turn = F.struct("turn", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("body"), F.filter(F.transform("parts", lambda p: p["attachment"]), lambda a: a.isNotNull()).alias("attachments"), F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p["tokens"]).alias("tokens"))
-    whole = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # ties of a turn go by the text that a reader sees
+    turn = F.struct("turn", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("plain"), F.col("parts").alias("parts"), F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p["tokens"]).alias("tokens"))
+    met = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # how many attachments stand before each turn, then before each part of it
+    many = lambda parts: F.size(F.filter(parts, lambda p: p["attachment"].isNotNull()))
+    before = F.aggregate("turns", F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + many(t["parts"]))))
+    spelt_part = lambda t, k: lambda p, i: F.when(p["attachment"].isNull(), p["text"]).otherwise(F.concat(p["text"], (k + 1 + many(F.slice(t["parts"], 1, i))).cast("string"), F.lit("]")))
+    attached = lambda t: F.transform(F.filter(t["parts"], lambda p: p["attachment"].isNotNull()), lambda p: F.struct(t["turn"].alias("turn"), p["attachment"]["type"].alias("type"), p["attachment"]["ref"].alias("ref"), p["attachment"]["tokens"].alias("tokens")))
+    has = F.exists("turns", lambda t: many(t["parts"]) > 0)
+    body = lambda t, k: F.when(has, F.array_join(F.transform(t["parts"], spelt_part(t, k)), "")).otherwise(t["plain"])
+    numbered = met.withColumn("before", F.when(has, before).otherwise(F.array_repeat(F.lit(0), F.size("turns") + 1)))
+    whole = numbered.select("conv_id", F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), body(t, F.get("before", i)).alias("body"), attached(t).alias("attachments"), t["tokens"].alias("tokens"))).alias("turns"))
     head = lambda t: F.concat(F.lit(BEGIN + HEAD), escaped(t["role"]), F.lit(BODY))
     spelt = whole.select("conv_id", "turns", F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.char_length(head(t)).alias("lead"), F.char_length(t["body"]).alias("size"))).alias("sizes"), F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["body"], F.lit(END))), "").alias("formatted"))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))

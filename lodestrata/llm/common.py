@@ -30,9 +30,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A table; costly rows of a small scan are spread over all cores."""
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return storage.spread(rows) if costly else rows
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -73,14 +75,14 @@ def wanted(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(df[f"`{name}`"].cast(kind).alias(name) for name, kind in types.items()))
 
 
-def kept(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The rows of docs, with all their columns, whose text passes; keep takes a batch's texts. Rows stay where they are:
-    no join, no shuffle, and rows that share an id, or have none, are judged one by one."""
+def kept(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], held: Callable[[Iterator], Iterator] = iter) -> DataFrame:
+    """The rows of docs, with all their columns, whose text passes; keep takes a batch's texts, held may put batches
+    together. Rows stay where they are: no join, no shuffle, and rows that share an id, or have none, are judged one by one."""
     place = docs.columns.index("text")
     bound_batches(docs.sparkSession)
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in held(batches):
             yield batch.filter(pa.array(keep(batch.column(place)), pa.bool_()))
 
     return docs.mapInArrow(filtered, docs.schema)

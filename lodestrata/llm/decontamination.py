@@ -7,8 +7,10 @@ are counted over all documents, and each window is indexed by its rarest one. A
 those prefix shingles; a hit proposes one position for the window, which the length and position bounds may rule out,
 and the words of the window are then compared one by one.
 
-The index lives in files of bounded size on shared storage. A task reads them one after another for a large batch of
-documents, so neither the number of benchmark items nor that of documents is limited and documents are never shuffled.
+The join's smaller side, the windows under their prefix shingles, is dealt to files of bounded size on shared storage, each
+with its sorted keys and a sieve of them. A task holds HELD bytes of documents and joins them with one file after another,
+so it reads a file once for each HELD bytes of its documents; neither the number of benchmark items nor that of documents
+is limited, and documents are never shuffled. An index of few files is kept by the task, and read once.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW, SHINGLE = 10, 5
-#: Windows in one file of the index (about 200 bytes each).
-CHUNK_WINDOWS = 200_000
+#: Windows in one file of the index (about 200 bytes each); files that a task keeps; bytes of documents that are joined with
+#: one file after another, if there are more.
+CHUNK_WINDOWS, KEPT, HELD = 200_000, 4, 32 << 20
 #: Word bytes: digits, letters and everything beyond ASCII.
 TABLE = common.fold_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=KEPT)
 def _load(path: str) -> dict[str, np.ndarray]:
     return dict(np.load(io.BytesIO(common.read_bytes(path))))
 
@@ -76,6 +79,8 @@ def _windows(items: list[tuple[int, bytes]], window: int, shingle: int) -> dict[
     for k, ((item, _), (own, sh)) in enumerate(found.items()):
         out["item"][k], out["size"][k] = item, len(own)
         out["words"][k, : len(own)], out["shingles"][k, : len(sh)] = own, sh
+    out["keys"] = np.unique(out["shingles"][out["shingles"] != 0])
+    out["sieve"] = _sieve(out["keys"])
     return out
 
 
@@ -106,6 +111,21 @@ def _chunks(benchmark: DataFrame, base: str, window: int, shingle: int) -> list[
     return sorted(r.path for r in items.mapInArrow(write, "path string").collect())
 
 
+def _held(batches: Iterator[pa.RecordBatch], files: int) -> Iterator[pa.RecordBatch]:
+    """The batches, put together to HELD bytes if there are more files than a task keeps."""
+    if files <= KEPT:
+        yield from batches
+        return
+    own: list[pa.RecordBatch] = []
+    for batch in batches:
+        own.append(batch)
+        if sum(b.nbytes for b in own) >= HELD:
+            yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            own = []
+    if own and sum(b.num_rows for b in own):
+        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+
+
 def _tokenised(texts: pa.Array) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a batch: first row, rows, and each word's row and hash."""
     return [(first, len(offsets) - 1, *common.words(data, offsets, TABLE)[2:]) for first, data, offsets in common.text_slices(texts)]
@@ -158,22 +178,19 @@ def index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often each shingle of the windows occurs, for one part of the documents."""
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _held(batches, len(paths)):
             slices = _tokenised(batch.column(1))
             for path in paths:
                 chunk = _load(path)
-                keys = np.unique(chunk["shingles"][chunk["shingles"] != 0])
-                sieve = _sieve(keys)
-                sums.setdefault(path, np.zeros(len(keys), np.int64))
+                n_keys = len(chunk["keys"])
+                sums.setdefault(path, np.zeros(n_keys, np.int64))
                 for n in np.unique(np.minimum(chunk["size"], shingle)):
                     for _, _, row, h in slices:
                         values, _ = common.shingles(h, row, int(n))
-                        sums[path] += np.bincount(_among(values, keys, sieve)[1], minlength=len(keys))
+                        sums[path] += np.bincount(_among(values, chunk["keys"], chunk["sieve"])[1], minlength=n_keys)
         for path, n in sums.items():
-            keys = np.unique(_load(path)["shingles"])
-            keys = keys[keys != 0]
             full = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(keys[full].view(np.int64)), "path": pa.array([path] * len(full), pa.string()), "n": pa.array(n[full])})
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(_load(path)["keys"][full].view(np.int64)), "path": pa.array([path] * len(full), pa.string()), "n": pa.array(n[full])})
 
     counted = rows.mapInArrow(count, "shingle long, path string, n long").groupBy("path", "shingle").agg(F.sum("n").alias("n"))
 
@@ -213,7 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     indexed = index(docs, benchmark, window, shingle)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _held(batches, len(indexed)):
             n_words, n_hit, items = _matched(batch.column(1), indexed, window)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], names=["doc_id", "n_words", "n_hit", "items"])
 
@@ -221,6 +238,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with their columns; each row is judged by its text."""
+    """The documents without any occurrence of a benchmark window, with their columns; each row is judged by its text, so
+    repeated rows stay or go alike. Null, empty and word-less texts stay; so does all if no item has words."""
     indexed = index(docs, benchmark)
-    return common.kept(docs, lambda texts: _matched(texts, indexed, WINDOW)[1] == 0)
+    return common.kept(docs, lambda texts: _matched(texts, indexed, WINDOW)[1] == 0, lambda batches: _held(batches, len(indexed)))

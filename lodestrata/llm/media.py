@@ -26,6 +26,8 @@ from . import common
 
 #: Payloads are padded to a multiple of it. Level of the lossless compression. Bytes of a shard.
 WIDTH, LEVEL, SHARD = 64, 5, 256 << 20
+#: Documents that one row of the index names; a payload of more has several rows.
+NAMED = 4096
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a stored form that hold its header: signature and IHDR.
 HEADER = 33
@@ -103,16 +105,14 @@ class _Shard:
 
 
 def store(docs: DataFrame, base: str) -> DataFrame:
-    """Write every payload of docs (doc_id, text) to shards in a folder of shared storage. A row for each payload and task: digest, shard, offset,
-    length, n_bytes, and the doc_ids that have it there. Null texts are stored as empty ones."""
+    """Write every payload of docs (doc_id, text) to shards in a folder of shared storage. A row for each payload, task and NAMED
+    documents: digest, shard, offset, length, n_bytes, and the doc_ids that have it there. Null texts are stored as empty ones."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         held: dict[bytes, list] = {}
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            shard.close()
-            every = list(held.items())
+        def rows(every: list[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(every), 5000):
                 part = every[k : k + 5000]
                 yield pa.RecordBatch.from_pydict({"digest": [d for d, _ in part], "shard": [shard.path.rsplit("/", 1)[1]] * len(part), "offset": [v[0] for _, v in part], "length": [v[1] for _, v in part], "n_bytes": [v[2] for _, v in part], "doc_ids": pa.array([v[3] for _, v in part], pa.list_(pa.int64()))})
@@ -124,15 +124,20 @@ def store(docs: DataFrame, base: str) -> DataFrame:
                 samples = payload(text or b"")
                 digest = hashlib.sha256(samples).digest() + len(text or b"").to_bytes(8, "big")  # zeros at a text's end stay its own
                 if digest in held:
+                    if len(held[digest][3]) >= NAMED:  # a text may have any number of copies
+                        yield from rows([(digest, held[digest])])
+                        held[digest] = [*held[digest][:3], []]
                     held[digest][3].append(doc)
                     continue
                 body = encoded(samples)
                 held[digest] = [shard.add(f"{digest.hex()}.png", body), len(body), len(text or b""), [doc]]
-                if shard.size >= SHARD:
-                    yield from rows()
+                if shard.size >= SHARD or len(held) >= SHARD >> 10:
+                    shard.close()
+                    yield from rows(list(held.items()))
                     shard, held = None, {}
         if shard is not None:
-            yield from rows()
+            shard.close()
+            yield from rows(list(held.items()))
 
     return common.settled(common.wanted(docs, doc_id="long", text="string").mapInArrow(write, STORED), "media-index")
 
@@ -191,11 +196,11 @@ def features(index: DataFrame, base: str) -> DataFrame:
     return index.mapInArrow(read, "digest binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and
+def media_columns(docs: DataFrame, base: str | None = None) -> DataFrame:
+    """Shards go to the folder `base`, where they stay; without one, to the application's own, which goes with it. Per document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and
     the address: shard, offset, length. Null texts count as empty, whose payload is WIDTH zeros. Equal texts have equal
     values and one address. Repeated rows give repeated results; a null doc_id stays null; other columns are ignored."""
-    base = common.fresh_path(docs.sparkSession, "media")
+    base = base or common.fresh_path(docs.sparkSession, "media")
     index = store(docs, base)
     # of the copies of several tasks, one is read; its rows are as many as distinct payloads
     address = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a")).select("digest", "a.*")

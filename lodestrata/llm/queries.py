@@ -14,7 +14,7 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, action)")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
@@ -32,20 +32,20 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("repository", F.concat_ws("/", "source", "lang"))
+    docs = table(spark, sf_dir, "documents", costly=True).withColumn("repository", F.concat_ws("/", "source", "lang"))
     found = secrets.scan(docs, repository="repository", owner="source")
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spelled("base").cast("binary"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"), F.size("live").cast("long").alias("n_live"), "n_examples")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents", costly=True), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language_id.identify(table(spark, sf_dir, "documents"))
+    found = language_id.identify(table(spark, sf_dir, "documents", costly=True))
     return found.select("doc_id", "held_out", "lang_pred", "score", "second", "ambiguous")
 
 
@@ -55,17 +55,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = toxicity.predict(table(spark, sf_dir, "documents", costly=True), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_exact", "n_stem", "n_fuzzy", "n_quoted")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.media_columns(table(spark, sf_dir, "documents"))
+    found = media.media_columns(table(spark, sf_dir, "documents", costly=True))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "length")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.encode(table(spark, sf_dir, "documents"))
+    return sentencepieces.encode(table(spark, sf_dir, "documents", costly=True))
 
 
 #: Fixed values of the query: a conversation that spells control strings of templates.
@@ -99,7 +99,7 @@ FROM written GROUP BY conv_id
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    found = ngram_join.ngram_join(table(spark, sf_dir, "documents", costly=True), n=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 

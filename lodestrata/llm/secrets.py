@@ -117,11 +117,14 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     single = full.select("repository", "owner", "doc_id", "text_hash", F.explode(F.array_distinct("found.hash")).alias("hash"))
     # one row for each value, owner and repository leaves a task; a value's rows are then as many as its owners at most
     held = single.groupBy("hash", F.coalesce("owner", F.concat(F.lit("?"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("owner"), F.coalesce("repository", F.lit("?")).alias("repository")).agg(F.count("*").alias("n"))
-    owned = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    # the joins below: values that few hold are many but not hot; hot values are few
-    examples = owned.where((F.col("owners") >= COMMON) | (F.col("repositories") >= WIDE)).select("hash", F.lit(True).alias("example"))
-    each = full.select("doc_id", "text_hash", F.explode("found").alias("c")).select("doc_id", "text_hash", "c.*").distinct()
-    judged = each.join(examples, "hash", "left").withColumn("example", F.coalesce("example", F.lit(False))).withColumn("live", ~F.col("example") & F.col("random"))
+    owned = held.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
+    # the widely copied values are few, but the rows of one may be a third of all: n says how many
+    examples = owned.where((F.col("owners") >= COMMON) | (F.col("repositories") >= WIDE)).select("hash", "n", F.lit(True).alias("example"))
+    examples = common.settled(examples, "examples")
+    each = full.select("doc_id", "text_hash", F.explode("found").alias("c")).select("doc_id", "text_hash", "c.*")
+    total = found.agg(F.sum(F.size("found"))).first()[0] or 0
+    judged = common.dealt_join(each, examples, ["hash"], "n", total, "left").distinct()
+    judged = judged.withColumn("example", F.coalesce("example", F.lit(False))).withColumn("live", ~F.col("example") & F.col("random"))
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("rank"), "kind", "end", "live", "example")
     by_doc = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(span)).alias("all"))  # bounded by one text
     joined = found.select("doc_id", "text_hash").join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select("doc_id", "text_hash", F.coalesce("all", F.array().cast(by_doc.schema["all"].dataType)).alias("all"))
@@ -136,7 +139,8 @@ def spelled(spans: str) -> F.Column:
 
 def masked(docs: DataFrame, repository: str = "source", owner: str = "source", mask: str = "[secret]") -> DataFrame:
     """The documents with every live span of their texts replaced by a mask, n_chars as it then is, other columns as they
-    are."""
+    are. Spans that overlap become one mask. Null and empty texts, and those without a live span, stay as they are; repeated
+    rows are masked alike; rows without an id are masked by their text; an empty table gives none."""
     own, text_hash, spans = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "hash", "live"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     last = lambda acc: F.element_at(acc, -1)

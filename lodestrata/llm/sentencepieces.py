@@ -71,6 +71,17 @@ def _merges(symbols: list[int], best: dict[tuple[int, int], tuple[float, int]])
     return scores, heads, tails, now
 
 
+def _checked(sp) -> None:
+    """Refuse models of another kind, whose ids would be others: normalisers that change texts, no dummy prefix, and pieces
+    that are not merged by rank (as those of unigram models, whose scores are no whole numbers)."""
+    for text in ("a  b ", "\ufb01\u00c5 \uff21\u2460", " x\ty\n", "AbC"):
+        if sp.normalize(text) != MARK + text.replace(" ", MARK):
+            raise ValueError("the model's normaliser changes texts, or sets no mark before them")
+    scores = [sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    if any(x != int(x) or x > 0 for x in scores):
+        raise ValueError("the model is not of merges by rank")
+
+
 @lru_cache(maxsize=2)
 def load(path: str = DEFAULT_MODEL) -> Model:
     """A BPE model with byte fallback, identity normalisation and a dummy prefix, from its file on the driver."""
@@ -78,6 +89,7 @@ def load(path: str = DEFAULT_MODEL) -> Model:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
+    _checked(sp)
     texts = [sp.id_to_piece(i) for i in range(n)]
     special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
     byte_ids = np.full(256, -1, np.int32)
@@ -358,7 +370,8 @@ def _encoder(key: int, model: Model) -> Encoder:
 
 
 def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids, lossless (decoding gives the text back, its mark characters as blanks). Null
+    """Per document: doc_id, n_tokens, ids, lossless (decoding gives the text back; not so where the text has the mark's own
+    character, which comes back as a blank). Null
     and empty texts have no ids and are lossless. Repeated rows give repeated results; a null doc_id stays null; other
     columns are ignored. The model's file is read on the driver."""
     model = load(model_path)
@@ -373,8 +386,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                 bodies = [raw[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 ids, at = own.encode([b.decode("utf-8", "replace") for b in bodies])
                 back = decode(held.value, ids, at)
-                mark = MARK.encode()
-                same = [x == (b.replace(mark, b" ") if mark in b else b) for x, b in zip(back, bodies, strict=True)]
+                same = [x == b for x, b in zip(back, bodies, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(bodies)), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "lossless"])
 
     return common.wanted(docs, doc_id="long", text="string").mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, lossless boolean")

@@ -4,7 +4,8 @@ A URL is expanded into expressions: each suffix of its host at a dot, with each
 of some rule's path. Expressions meet the rules in an equi-join on the first bytes of their digests; the full digest
 then confirms, and of the rules that fit the longest one decides.
 
-URLs are reduced to distinct pairs of host and path before they are expanded, so a common URL is judged once.
+URLs are reduced to distinct pairs of host and path before they are expanded, so a common URL is judged once; a pair that
+very many pages have is sent to the pages, not these to it. Pages without a host fit no rule and meet none.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Hexadecimal digits of the short prefix, and rules up to which they are broadcast.
 PREFIX, BROADCAST = 8, 100_000
 
@@ -46,9 +49,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.char_length("path")), lambda n: F.left("path", n))
-    expanded = urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("start"))
-    expanded = expanded.withColumn("digest", _digest(F.col("suffix"), F.col("start"))).select("host", "path", "digest", F.substring("digest", 1, PREFIX).alias("prefix"))
-    fits = expanded.join(F.broadcast(listed) if few else listed, "prefix").where("digest = rule_digest")
+    some = urls.where("host <> ''")
+    pairs = some.groupBy("host", "path").agg(F.count("*").alias("n"))
+    expanded = pairs.select("host", "path", "n", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "n", "suffix", F.explode("prefixes").alias("start"))
+    expanded = expanded.withColumn("digest", _digest(F.col("suffix"), F.col("start"))).select("host", "path", "n", "digest", F.substring("digest", 1, PREFIX).alias("prefix"))
+    if few:
+        fits = expanded.join(F.broadcast(listed), "prefix").where("digest = rule_digest")
+    else:
+        # expressions that many URLs share, such as a top-level domain, are counted before they meet the rules
+        expanded = common.settled(expanded, "expressions")
+        known = expanded.groupBy("prefix", "digest").agg(F.count("*").alias("urls")).join(listed, "prefix").where("digest = rule_digest").drop("prefix", "rule_digest")
+        fits = common.dealt_join(expanded, common.settled(known, "rules"), ["digest"], "urls", expanded.count())
     spelt = F.concat("rule_host", "rule_path")
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(spelt.alias("rule"), "action"), F.struct(F.char_length(spelt), spelt)).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(spelt.alias("rule"), "action"), F.struct(F.char_length(spelt), spelt)).alias("best"), F.first("n").alias("n"))
+    joined = common.dealt_join(some, common.settled(best, "verdicts"), ["host", "path"], "n", pages.count(), "left")
+    every = joined.unionByName(urls.where("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType)))
+    return every.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
