@@ -3,9 +3,13 @@
 The lexicon's trie is intersected with the Levenshtein automata of its terms and determinised, so one table walks all
 words of a batch at once, a character at a time; words that leave the automaton are dropped from the walk. Terms are
 whole words or stems (a stem matches what begins with it). Words of FUZZY letters or more allow one edit, also where a
-stem covers them; shorter ones and stems none. Each hit is then judged by a window of text around it: inside quotation marks or beside a word of
-reporting it counts less, beside an address in the second person more. A logistic model turns a document's sums of hits
-into a score.
+stem covers them, unless the labelled texts show that what lies an edit away from the word is no sign (it is an ordinary
+word, say, or made of the same syllables); shorter ones and stems allow none.
+
+Each hit is then judged by a window of text around it: inside quotation marks or beside a word of reporting it counts
+less, beside an address in the second person more, and with an edit less than without. A document's severity is the sum
+of its hits, so edits and context move every score in the direction that they stand for, however rare they are among the
+labelled texts; a logistic model of severity and density (severity for each word) turns it into a score.
 
 Lexicon and model are learned from labelled rows, at most SAMPLE of them (chosen by the hash of doc_id); the texts of
 all documents are scored whole.
@@ -38,7 +42,11 @@ ADDRESS = re.compile(r"\b(you|your|you're|u|ur|du|ihr|dich|tu|vous|toi|tú|usted
 REPORT = re.compile(r"\b(said|says|quote[ds]?|called|term|word|slur|wrote|sagte|Wort|Zitat|dit|mot|dijo|palabra)\b", re.I)
 OPEN, CLOSE = re.compile("[\"“«„‘']\\s*[^\"”»“’'\n]{0,40}$"), re.compile("^[^\"“«„‘'\n]{0,40}[\"”»“’']")
 QUOTED, ADDRESSED = 0.35, 1.25
-FEATURES = ("exact", "stem", "fuzzy", "quoted", "density")
+#: What a hit with an edit counts; how many times as frequent in toxic texts as in clean ones a term, and what lies an edit
+#: away from it, has to be.
+EDITED, TELLS, NEAR_TELLS = 0.8, 20, 3
+#: Sums of context weights by kind of hit, and hits in quotation, which are reported; then the model's own features.
+SUMS, FEATURES = ("exact", "stem", "fuzzy", "quoted"), ("severity", "density")
 
 _WORD = re.compile(r"[^\W_]+")
 #: There are no letters or digits from here on, nor at the code point before.
@@ -77,13 +85,14 @@ class Automaton:
         return out
 
 
-def automaton(words: list[str], stems: list[str], fuzzy: int = FUZZY) -> Automaton:
-    """Levenshtein automata of all terms, intersected with their trie, as one deterministic table."""
+def automaton(words: list[str], stems: list[str], fuzzy: int = FUZZY, strict: frozenset[str] = frozenset()) -> Automaton:
+    """Levenshtein automata of all terms, intersected with their trie, as one deterministic table. strict: words that allow
+    no edit whatever their length."""
     kids: list[dict[str, int]] = [{}]
     ends: list[tuple[int, bool]] = [(-1, False)]  # edits allowed at a word's end, is it a stem
     reach = [False]  # has a term below that allows an edit
     for term, is_stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
-        at, edits = 0, 1 if len(term) >= fuzzy and not is_stem else 0
+        at, edits = 0, 1 if len(term) >= fuzzy and not is_stem and term not in strict else 0
         reach[0] |= bool(edits)
         for c in term:
             if c not in kids[at]:
@@ -213,8 +222,9 @@ def context_weight(before: str, after: str) -> float:
 
 
 def features(auto: Automaton, column: pa.Array) -> np.ndarray:
-    """One row of FEATURES for each text."""
-    out = np.zeros((len(column), len(FEATURES)))
+    """One row of SUMS and FEATURES for each text."""
+    n = len(SUMS)
+    out = np.zeros((len(column), n + len(FEATURES)))
     for first, data, offsets in common.text_slices(column):
         row, begin, end, kind, n_words = hits(auto, data, offsets)
         for r, a, z, k in zip(row.tolist(), begin.tolist(), end.tolist(), kind.tolist(), strict=True):
@@ -224,8 +234,38 @@ def features(auto: Automaton, column: pa.Array) -> np.ndarray:
             out[first + r, k] += w
             out[first + r, 3] += w == QUOTED
         own = slice(first, first + len(n_words))
-        out[own, 4] = out[own, :3].sum(axis=1) / np.maximum(n_words, 1) * 100
-    return np.log1p(out)
+        out[own, n] = out[own, 0] + out[own, 1] + EDITED * out[own, 2]
+        out[own, n + 1] = out[own, n] / np.maximum(n_words, 1) * 100
+    out[:, n:] = np.log1p(out[:, n:])
+    return out
+
+
+def _less(word: str) -> set[str]:
+    return {word} | {word[:k] + word[k + 1 :] for k in range(len(word))}
+
+
+def _one_edit(a: str, b: str) -> bool:
+    """Whether one edit at most makes one of the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    k = 0
+    while k < len(a) and a[k] == b[k]:
+        k += 1
+    return a[k:] == b[k + 1 :] or (len(a) == len(b) and a[k + 1 :] == b[k + 1 :])
+
+
+def nearby(words: list[str]) -> dict[str, list[str]]:
+    """Words by what is left of each without one of its letters or none."""
+    found: dict[str, list[str]] = {}
+    for w in words:
+        for x in _less(w):
+            found.setdefault(x, []).append(w)
+    return found
+
+
+def terms_near(index: dict[str, list[str]], word: str) -> set[str]:
+    """The words of the index that are one edit away."""
+    return {w for x in _less(word) for w in index.get(x, ()) if w != word and _one_edit(w, word)}
 
 
 def fewest(n_toxic: int) -> int:
@@ -238,7 +278,7 @@ def lexicon(words: dict[str, tuple[int, int]], families: dict[str, tuple[int, in
     clean documents that have them. families: by stem, how many longer words of LEAST toxic documents or more begin with
     it, and in how many the most frequent word is that does, or is the stem itself."""
     least = fewest(n_toxic)
-    tells = {w: (a, c) for w, (a, c) in words.items() if a >= least and a / max(n_toxic, 1) >= 20 * (c + 0.05) / max(n_clean, 1)}
+    tells = {w: (a, c) for w, (a, c) in words.items() if a >= least and a / max(n_toxic, 1) >= TELLS * (c + 0.05) / max(n_clean, 1)}
     stems: list[str] = []
     for w in sorted((w for w in tells if w.endswith("*")), key=lambda w: (len(w), w)):
         completions, largest = families.get(w, (0, 0))
@@ -254,12 +294,12 @@ def lexicon(words: dict[str, tuple[int, int]], families: dict[str, tuple[int, in
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 60) -> np.ndarray:
-    """Weights, the bias last, by damped Newton steps; the two classes weigh the same. Hits of any kind can only raise
-    a score: a feature that would lower it is left out (but for quotation, which may)."""
+    """Weights, the bias last, by damped Newton steps; the two classes weigh the same. Severity and density can only raise
+    a score: one that would lower it is left out."""
     used = np.ones(x.shape[1], bool)
     while True:
         w = _newton(x * used, y, ridge, rounds)
-        lower = used & (w[:-1] < 0) & (np.array(FEATURES[: x.shape[1]]) != "quoted")
+        lower = used & (w[:-1] < 0)
         if not lower.any():
             return w
         used &= ~lower
@@ -286,8 +326,12 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> np.ndarr
 class Model:
     words: list[str]
     stems: list[str]
+    strict: frozenset[str]
     weights: np.ndarray
 
+    def automaton(self) -> Automaton:
+        return automaton(self.words, self.stems, strict=self.strict)
+
 
 def _strings(text: str) -> set[str]:
     found = set(_WORD.findall(text.lower()))
@@ -325,22 +369,42 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     good = {r.w: r.n for r in summed(False, frozenset(bad)).collect()}
     n_clean = good.pop("", 0)
     words, stems = lexicon({w: (a, good.get(w, 0)) for w, a in bad.items()}, families, n_toxic, n_clean)
-    auto = automaton(words, stems)
+    loose = automaton(words, stems)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many toxic and clean texts something an edit away from each word stands, as a hit of its own."""
+        index = nearby([w for w in words if len(w) >= FUZZY])
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            toxic = batch.column(1).to_pylist()
+            for first, data, offsets in common.text_slices(batch.column(0)):
+                row, begin, end, kind, _ = hits(loose, data, offsets)
+                own: dict[int, set[str]] = {}
+                for r, a, z in zip(row[kind == 2].tolist(), begin[kind == 2].tolist(), end[kind == 2].tolist(), strict=True):
+                    own.setdefault(r, set()).update(terms_near(index, data[a:z].tobytes().decode("utf-8", "ignore").lower()))
+                for r, terms in own.items():
+                    seen[toxic[first + r]].update(terms)
+        yield pa.RecordBatch.from_pydict({"w": [w for k in (0, 1) for w in seen[k]], "toxic": [k for k in (0, 1) for _ in seen[k]], "n": [n for k in (0, 1) for n in seen[k].values()]}, schema=pa.schema([("w", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())]))
+
+    # two rows for each word of the lexicon at most
+    around = {(r.w, r.toxic): r.n for r in own.mapInArrow(near, "w string, toxic int, n long").groupBy("w", "toxic").agg(F.sum("n").alias("n")).collect()} if words else {}
+    strict = frozenset(w for w in words if (around.get((w, 1), 0) + 0.5) / max(n_toxic, 1) < NEAR_TELLS * (around.get((w, 0), 0) + 0.05) / max(n_clean, 1))
+    auto = automaton(words, stems, strict=strict)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(auto, batch.column(0))
+            x = features(auto, batch.column(0))[:, len(SUMS) :]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     rows = own.mapInArrow(measured, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()  # at most `sample`
     if not rows or len({r.toxic for r in rows}) < 2:
-        return Model([], [], np.array([0.0] * len(FEATURES) + [-4.0]))
+        return Model([], [], frozenset(), np.array([0.0] * len(FEATURES) + [-4.0]))
     times = np.array([r["count"] for r in rows])
-    return Model(words, stems, logistic(np.repeat(np.array([r.x for r in rows]), times, axis=0), np.repeat(np.array([float(r.toxic) for r in rows]), times)))
+    return Model(words, stems, strict, logistic(np.repeat(np.array([r.x for r in rows]), times, axis=0), np.repeat(np.array([float(r.toxic) for r in rows]), times)))
 
 
 def _probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x[:, len(SUMS) :] @ weights[:-1] + weights[-1], -30, 30)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -348,14 +412,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     quotation). Null and empty texts, and those without a hit, get the model's score for no hit. Repeated rows give
     repeated results; a null doc_id stays null; other columns are ignored."""
     schema = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in ("score", "n_exact", "n_stem", "n_fuzzy", "n_quoted")])
-    held = docs.sparkSession.sparkContext.broadcast((automaton(model.words, model.stems), model.weights))
+    held = docs.sparkSession.sparkContext.broadcast((model.automaton(), model.weights))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto, weights = held.value
         for batch in batches:
             x = features(auto, batch.column(1))
             p = _probability(x, weights)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), *(pa.array(np.expm1(x[:, k])) for k in range(4))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), *(pa.array(x[:, k]) for k in range(len(SUMS)))], names=schema.names)
 
     return common.wanted(docs, doc_id="long", text="string").mapInArrow(scored, schema)
 
@@ -373,9 +437,10 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tolerable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns; each row is judged by its own text."""
+    """The documents that are not predicted toxic, with their columns; each row is judged by its own text, so repeated rows
+    stay or go alike. Null and empty texts have no hit: they stay, as all does if there are no labels of both kinds."""
     model = train(docs, labels.where(~held_out(F.col("doc_id"))))
-    held = docs.sparkSession.sparkContext.broadcast((automaton(model.words, model.stems), model.weights))
+    held = docs.sparkSession.sparkContext.broadcast((model.automaton(), model.weights))
 
     def fine(texts: pa.Array) -> np.ndarray:
         auto, weights = held.value

@@ -220,6 +220,48 @@ def test_context_tells_quotation_from_abuse():
     assert toxicity.context_weight("an ", " came by") == 1.0
 
 
+def test_edits_and_quotation_move_scores(spark):
+    """Misspelt and quoted terms are rare among labelled texts, and yet tell; what lies an edit away from a term and stands in
+    clean texts doesn't."""
+    rng = random.Random(21)
+    bad = ["zorgax", "blivnar", "krumpt", "stoner"]
+    rows, labels = [], []
+    for i in range(600):
+        words = prose(i, 50).split()  # with "stone", "stoned" and "stones" among them
+        if i % 4 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    tested = {}
+    for i in range(120):
+        for at, form in enumerate(("{}", "\u201c{}\u201d", "the word {} means a lot", "you {} of a river")):
+            term = bad[i % 3]
+            k = rng.randrange(len(term))
+            for edit, w in enumerate((term, term[:k] + term[k + 1 :], term[:k] + "qy"[i % 2] + term[k:], term[:k] + "w" + term[k + 1 :])):
+                n = 10_000 + len(tested)
+                tested[n] = (at, edit, edits(w, term))
+                rows.append((n, f"{prose(i, 25)} {form.format(w)} {prose(i + 1, 25)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.words == sorted(bad) and model.strict == {"stoner"} and model.weights[0] > 1
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for n, (at, edit, far) in tested.items():
+        r = got[n]
+        assert far <= 1 and (r.n_quoted > 0) == (at in (1, 2)), (n, at)
+        assert (r.n_fuzzy > 0) == (far == 1) and (r.score >= 0.5) == (at in (0, 3)), (r, tested[n])
+    by = {(at, edit): [got[n].score for n, k in tested.items() if k[:2] == (at, edit)] for at in range(4) for edit in (0, 1)}
+    assert min(by[3, 0]) > max(by[0, 0]) > max(by[0, 1]) > max(by[1, 0]) > max(by[1, 1])
+
+
+def test_terms_near_are_one_edit_away():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(60)})
+    index = toxicity.nearby(words)
+    for _ in range(500):
+        w = "".join(rng.choice("abc") for _ in range(rng.randint(2, 7)))
+        assert toxicity.terms_near(index, w) == {t for t in words if t != w and edits(t, w) == 1}
+
+
 def test_toxicity_of_held_out_rows(spark):
     rng = random.Random(8)
     bad = ["zorgax", "blivnar", "krumpt"]
