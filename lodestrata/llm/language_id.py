@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: The most labelled texts to learn from, hashed n-gram features, lengths of n-grams, least part of a probability by
+#: The most labelled texts to learn from, the most languages (those with most texts), hashed n-gram features, lengths of n-grams, least part of a probability by
 #: which the best codeword has to lead the second.
-SAMPLE, FEATURES, GRAMS, LEAD = 8_000, 1 << 12, (1, 2, 3), 0.2
+SAMPLE, LANGUAGES, FEATURES, GRAMS, LEAD = 8_000, 1_000, 1 << 12, (1, 2, 3), 0.2
 UNKNOWN = "und"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
@@ -126,10 +126,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from rows with a text and a lang, at most about `sample` of them; fewer than two languages give a model that
+    """Learn from rows with a text and a lang, at most about `sample` of them, of LANGUAGES languages at most; fewer than two languages give a model that
     always says the one, or `und`. Rows without an id are not learned from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(per)
     if len(languages) < 2:
         return Model(languages, np.ones((len(languages), 1)), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32), np.ones(1), 1.0)
@@ -142,8 +142,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             for first, x, _ in counts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(x)), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    # at most `sample` rows of fixed size come to the driver, in pieces
-    found = chosen.mapInArrow(shrunk, "lang string, x binary")
+    # made by all tasks at once; then at most `sample` rows of fixed size come to the driver, in pieces
+    found = common.settled(chosen.mapInArrow(shrunk, "lang string, x binary"), "features")
     place = {lang: k for k, lang in enumerate(languages)}
     x, language = [], []
     for r in found.toLocalIterator():
@@ -188,6 +188,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the rows that are not held out, and tell the language of all: predict()'s columns and held_out."""
+    """Learn from the rows that are not held out, and tell the language of all: predict()'s columns and held_out. Null ids
+    are not learned from, and not held out; ties of scores go to the language that sorts first; an empty table gives none."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))

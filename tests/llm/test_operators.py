@@ -83,6 +83,37 @@ def test_language_of_odd_rows(odd, none):
     assert {r.lang_pred for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_features_and_decoding_by_brute_force():
+    texts = ["Abc ab", "", None, "ééé", "a", "The END of it. " * 40]
+
+    def hashed(gram):
+        h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        for c in gram:
+            h = (h ^ c) * 0x01000193 & 0xFFFFFFFF
+            h ^= h >> 15
+        return h & language_id.FEATURES - 1
+
+    rows = np.concatenate([x for _, x, _ in language_id.counts(pa.array(texts))])
+    for text, row in zip(texts, rows, strict=True):
+        b = (text or "").encode().translate(language_id._LOWER)
+        n = np.zeros(language_id.FEATURES)
+        for k in language_id.GRAMS:
+            for i in range(len(b) - k + 1):
+                n[hashed(b[i : i + k])] += 1
+        assert np.allclose(row, np.sqrt(n) / max(np.linalg.norm(np.sqrt(n)), 1e-9), atol=1e-6)
+    rng = np.random.default_rng(2)
+    code, trust, margin = language_id.codewords(4), rng.random(7), rng.normal(size=(20, 7))
+    model = language_id.Model(list("abcd"), code, np.zeros((1, 7)), np.zeros(7), trust, 1.0)
+    loss = [[sum(t * np.log1p(np.exp(-m * c)) for t, m, c in zip(trust, ms, word, strict=True)) for word in code] for ms in margin]
+    assert np.allclose(language_id.decode(model, margin), loss)
+    # a wrong bit or two of an exact codeword are put right
+    for k, word in enumerate(code):
+        for bit in range(7):
+            damaged = word * 5.0
+            damaged[bit] *= -1
+            assert int(language_id.decode(language_id.Model(list("abcd"), code, None, None, np.ones(7), 1.0), damaged[None])[0].argmin()) == k
+
+
 # --- 2: shards ---
 
 
@@ -308,6 +339,15 @@ def test_media_columns(odd, none):
     assert media.media_columns(odd).count() == odd.count() and media.media_columns(none).count() == 0
 
 
+def test_copies_of_a_payload_are_named_in_bounded_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(media, "NAMED", 10)
+    df = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(300)], "doc_id long, text string").coalesce(1)
+    base = f"file://{tmp_path}/media"
+    assert media.store(df, base).agg(F.max(F.size("doc_ids"))).first()[0] <= 10
+    got = media.media_columns(df, base)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(300)) and got.select("shard", "offset").where("length > 0").distinct().count() == 101
+
+
 def test_damage_is_seen():
     stored = bytearray(media.encoded(media.payload(b"some text")))
     stored[50] ^= 1
@@ -340,6 +380,28 @@ def test_pieces_of_odd_rows(odd, none):
     assert all(back[d] == (t or "").replace("▁", " ") for d, t in texts.items())
 
 
+def test_models_of_another_kind_are_refused():
+    class Other:
+        def __init__(self, normal=None, scores=(0.0, -1.0)):
+            self.normal, self.scores = normal or (lambda t: "\u2581" + t.replace(" ", "\u2581")), scores
+
+        def normalize(self, text):
+            return self.normal(text)
+
+        def get_piece_size(self):
+            return len(self.scores)
+
+        def get_score(self, i):
+            return self.scores[i]
+
+        is_control = is_unknown = is_byte = is_unused = lambda self, i: False
+
+    sentencepieces._checked(Other())
+    for bad in (Other(lambda t: t.lower()), Other(lambda t: t.replace(" ", "\u2581")), Other(scores=(0.0, -1.5))):
+        with pytest.raises(ValueError):
+            sentencepieces._checked(bad)
+
+
 # --- 6: chat ---
 
 
@@ -581,3 +643,35 @@ def test_decontamination_of_odd_rows(spark, odd, none):
     assert decontamination.clean(odd, items).count() == odd.count() - 1 and decontamination.clean(odd, items).columns == odd.columns
     empty = spark.createDataFrame([], items.schema)
     assert decontamination.decontaminate(odd, empty).where("n_hit > 0").count() == 0 and decontamination.decontaminate(none, items).count() == 0
+
+
+# --- what must hold at any size ---
+
+
+def test_dealt_join_sends_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUBS", 3)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 30}") for i in range(900)] + [(1000, "none"), (1001, None)], "id long, key string")
+    table = rows.where("key <> 'none'").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("v"))
+    for how in ("inner", "left"):
+        got = sorted(((r.id, r.key, r.v) for r in common.dealt_join(rows, table, ["key"], "n", rows.count(), how).collect()), key=str)
+        assert got == sorted(((r.id, r.key, r.v) for r in rows.join(table, "key", how).collect()), key=str)
+
+
+def test_components_of_a_star_and_a_path(spark):
+    star = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(2999, 5000)]
+    got = components.components(spark.createDataFrame(star, "u long, v long"), "t")
+    assert got.where("root <> 0").count() == 0 and got.count() == got.select("id").distinct().count() == 3041
+
+
+def test_an_index_of_many_files_is_read_a_bounded_number_of_times(spark, monkeypatch):
+    items = [(i, prose(i, 30, tuple(f"v{k}" for k in range(400)))) for i in range(60)]
+    texts = [(i, prose(1000 + i, 40) + " " + (items[i % 60][1] if i % 5 == 0 else "")) for i in range(400)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    monkeypatch.setattr(decontamination, "CHUNK_WINDOWS", 200)
+    paths = decontamination.index(docs, bench)
+    assert len(paths) >= 20
+    read = []
+    monkeypatch.setattr(decontamination, "_load", lambda path, own=decontamination._load.__wrapped__: read.append(path) or own(path))
+    batches = [b for k in range(0, 400, 40) for b in pa.table({"text": [t for _, t in texts[k : k + 40]]}).to_batches()]
+    found = [decontamination._matched(b.column(0), paths, 10)[1] for b in decontamination._held(iter(batches), len(paths))]
+    assert len(read) == len(paths) and (np.concatenate(found) > 0).tolist() == [i % 5 == 0 for i in range(400)]

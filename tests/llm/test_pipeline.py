@@ -1,16 +1,21 @@
 """The queries over the smallest tables: SQL where there is some, the contracts' results by brute force, the pipeline."""
 
 import hashlib
+import math
 import os
+import re
+import zlib
+from collections import defaultdict
 
 import duckdb
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestrata.llm import queries, secrets, sentencepieces
+from lodestrata.llm import common, media, queries, secrets, sentencepieces, sharding, toxicity
 
-from .test_operators import LOWER, base_spans, jaccard_groups, windows
+from .test_operators import LOWER, base_spans, edits, jaccard_groups, windows
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -59,9 +64,87 @@ def test_op10_by_brute_force(spark, docs):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, seen))).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op1_language_id", "op2_sharding", "op3_toxicity", "op4_media_columns", "op5_sentencepiece"])
-def test_a_row_for_each_document(spark, docs, name):
-    assert sorted(r.doc_id for r in queries.QUERIES[name](spark, DATA).select("doc_id").collect()) == sorted(docs)
+def test_op1_on_held_out_rows(spark, docs):
+    got = {r.doc_id: r for r in queries.QUERIES["op1_language_id"](spark, DATA).collect()}
+    assert set(got) == set(docs)
+    known = {r.lang for r in docs.values()} - {None}
+    for d, r in got.items():
+        text = docs[d].text or ""
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text)) and r.lang_pred in known | {"und"}
+    told = [(r.lang_pred, docs[d].lang) for d, r in got.items() if r.held_out and docs[d].lang and r.lang_pred != "und"]
+    assert sum(a == b for a, b in told) >= 0.97 * len(told) > 20
+
+
+def test_op2_holds_its_law(spark, docs):
+    got = queries.QUERIES["op2_sharding"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    sums, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        b = (docs[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32) == (len(b) + 1, zlib.crc32(b)) and 0 <= r.shard < 16
+        sums[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    share = sum(sums.values()) / 16
+    assert all(abs(n - share) <= sharding.TOLERANCE * share + max(r["size"] for r in got) for n in sums.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_op3_by_brute_force(spark, docs):
+    """Hits by edit distances to all terms, the context around each, and the model's formula."""
+    model = toxicity.train(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet").where(~toxicity.held_out(F.col("doc_id"))))
+    free = [t for t in model.words if len(t) >= toxicity.FUZZY and t not in model.strict]
+    for r in queries.QUERIES["op3_toxicity"](spark, DATA).collect():
+        text = docs[r.doc_id].text or ""
+        sums, words = [0.0, 0.0, 0.0], 0
+        for m in re.finditer(r"[^\W_]+", text):
+            w, words = m[0].lower(), words + 1
+            kind = 1 if any(w.startswith(s) for s in model.stems) else 0 if w in model.words else 2 if any(abs(len(t) - len(w)) < 2 and edits(w, t) <= 1 for t in free) else None
+            if kind is not None:
+                before, after = (x.encode() for x in (text[: m.start()], text[m.end() :]))
+                sums[kind] += toxicity.context_weight(before[-toxicity.CONTEXT :].decode("utf-8", "ignore"), after[: toxicity.CONTEXT].decode("utf-8", "ignore"))
+        assert (r.n_exact, r.n_stem, r.n_fuzzy) == pytest.approx(sums)
+        severity = sums[0] + sums[1] + toxicity.EDITED * sums[2]
+        z = model.weights[0] * math.log1p(severity) + model.weights[1] * math.log1p(100 * severity / max(words, 1)) + model.weights[2]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_op4_by_brute_force(spark, docs):
+    got = queries.QUERIES["op4_media_columns"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    by_text = {}
+    for r in got:
+        b = (docs[r.doc_id].text or "").encode()
+        p = b + bytes(-len(b) % 64 if b else 64)
+        stored = media.encoded(p)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.length) == (len(stored), hashlib.sha256(stored).hexdigest(), len(stored)) and media.decoded(stored) == p
+        assert f"png:{len(p)}x1x8;mean={sum(p) / len(p):.4f};" in r.feature and r.feature.endswith(f"distinct={len(set(p))}")
+        assert by_text.setdefault(b, r.feature) == r.feature
+
+
+def test_op5_by_brute_force(spark, docs):
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.DEFAULT_MODEL)
+    got = queries.QUERIES["op5_sentencepiece"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert all(r.ids == sp.encode(docs[r.doc_id].text or "") and r.n_tokens == len(r.ids) and r.lossless == ("\u2581" not in (docs[r.doc_id].text or "")) for r in got)
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_stages_keep_rows_of_every_kind(spark, none, odd, rows):
+    """The stages one after another on an empty table and on one with null and repeated ids, repeated rows and texts, and columns
+    whose names clash with the operators' own."""
+    docs = none if rows == "none" else odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.settled(stage(spark, docs, DATA), name)
+        assert after.columns == docs.columns and after.count() <= docs.count()
+        if name != "ngram_jaccard_join":
+            assert after.count() == docs.count(), name
+        else:
+            alone = {r.doc_id for r in odd.collect() if r.text is None or not r.text.strip()}
+            assert rows == "none" or (alone | {None}) <= {r.doc_id for r in after.collect()}
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count() and (docs.count() > 0) == (rows == "odd")
 
 
 def test_pipeline(spark, docs):
