@@ -103,5 +103,34 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+#: Texts in lower case of A-Z alone, and their words by a class of separators.
+_WORDS = "[x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}') IF x <> '']"
+
+OP7_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format("[ \\t-\\r]+")} AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+grams AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n AS n, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM pairs WHERE 100 * shared >= 90 * (n - shared)),
+reached(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least_reached, doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+FROM sets LEFT JOIN (SELECT u, min(v) AS least_reached FROM reached GROUP BY u) r ON r.u = doc_id LEFT JOIN (SELECT u, count(*) AS n_links FROM links GROUP BY u) l ON l.u = doc_id
+"""
+
+OP10_SQL = f"""
+WITH words AS (SELECT doc_id, {_WORDS.format("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS.format("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest([array_to_string(w[i : i + 9], ' ') FOR i IN range(1, greatest(len(w) - 8, 2))]) AS t FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS t FROM words, sizes WHERE len(w) >= n),
+found AS MATERIALIZED (SELECT doc_id, i, places.n, item_id FROM places JOIN windows ON places.t = windows.t AND places.n = windows.n),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_toxicity, op4_media_columns, op5_sentencepiece, op6_chat_format, op7_ngram_jaccard_join, op8_url_filter, op9_secret_scan, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL}
