@@ -93,7 +93,7 @@ def fit(x: np.ndarray, language: np.ndarray, languages: list[str], rounds: int =
     """Ridge-regularised logistic classifiers of all bits at once, by gradient steps with momentum; each language weighs
     the same."""
     code = codewords(len(languages))
-    y = code[language]
+    y = code[language].astype(np.float32)  # in double precision each step would copy x
     weigh = (1 / np.maximum(np.bincount(language, minlength=len(languages)), 1)[language])[:, None].astype(np.float32)
     weigh = weigh / weigh.sum()
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
@@ -142,13 +142,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             for first, x, _ in counts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(x)), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    # made by all tasks at once; then at most `sample` rows of fixed size come to the driver, in pieces
-    found = common.settled(chosen.mapInArrow(shrunk, "lang string, x binary"), "features")
+    # made by all tasks at once; at most `sample` rows of fixed size, 64 MB in all, come to the driver
+    found = common.settled(chosen.mapInArrow(shrunk, "lang string, x binary"), "features").toArrow()
     place = {lang: k for k, lang in enumerate(languages)}
-    x, language = [], []
-    for r in found.toLocalIterator():
-        x.append(np.frombuffer(r.x, np.float16))
-        language.append(place[r.lang])
+    x = [np.frombuffer(v.as_buffer(), np.float16) for v in found.column("x")]
+    language = [place[lang] for lang in found.column("lang").to_pylist()]
     if not x:
         return Model([], np.ones((0, 1)), np.zeros((FEATURES, 1), np.float32), np.zeros(1, np.float32), np.ones(1), 1.0)
     return fit(np.array(x, np.float32), np.array(language), languages)
