@@ -1,13 +1,15 @@
 """Shards of near equal bytes by histogram sort, in DataFrame functions only.
 
-The key of a row is (hash of its text, hash of its doc_id): equal texts are neighbours. Splitters are found from
+The key of a row is (hash of its text, hash of its doc_id, hash of its place in the written keys): equal texts are
+neighbours, and the place parts rows that are alike in all else. Splitters are found from
 histograms: each round counts the exact bytes of the cells that lie between two candidate boundaries, for those cells
 alone in which a splitter still has to be found, and cuts them into finer cells by the next bits of the key. A splitter
 is settled once a boundary lies within the tolerance of its target; a boundary inside a group of equal texts is only
 probed once those between texts were all too far off. Then rows are exchanged once, by shard and cell.
 
 Slots count rows before a cell, from the cells' exact counts, plus the row's place within its cell. Cells that hold
-too many rows, such as a text with very many copies, are cut by the second hash, so no task sorts a whole group.
+too many rows, such as a text with very many copies, are cut by the second hash, and what repeats one row too often by
+the third, so no task sorts a whole group.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ BITS, TOLERANCE, CELL = 10, 1 / 200, 50_000
 #: Cells for slots up to which their counts are broadcast (about 40 bytes each).
 BROADCAST = 200_000
 
-_HALF = 1 << 63
+#: Rounds of probes that one hash of 64 bits gives.
+_ROUNDS = -(-64 // BITS)
 
 
 def size_of(text: Column) -> Column:
@@ -31,9 +34,8 @@ def size_of(text: Column) -> Column:
 
 
 def _level(level: int) -> Column:
-    """The key's bits of a round, as a number: the first rounds take the text's hash, the others the doc_id's."""
-    rounds = -(-64 // BITS)
-    name, k = ("h", level) if level < rounds else ("d", level - rounds)
+    """The key's bits of a round, as a number: the first rounds take the text's hash, then the doc_id's, then the place's."""
+    name, k = "hdp"[level // _ROUNDS], level % _ROUNDS
     low = max(0, 64 - BITS * (k + 1))
     width = min(BITS, 64 - BITS * k)
     return F.shiftrightunsigned(F.col(name), low).bitwiseAND((1 << width) - 1).cast("int")
@@ -41,7 +43,7 @@ def _level(level: int) -> Column:
 
 def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[list[int]]:
     """For each boundary between shards the path of cells (one number for each round) below which its rows end. keyed: h,
-    d, size. The driver gets the cells in which splitters fall, at most shards * 2 ** BITS numbers a round."""
+    d, p, size. The driver gets the cells in which splitters fall, at most shards * 2 ** BITS numbers a round."""
     total = keyed.agg(F.sum("size")).first()[0] or 0
     slack = total / shards * tolerance
     done: dict[int, list[int]] = {}
@@ -69,7 +71,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
             for b in wanted:
                 target = total * b / shards
                 near = min([(abs(x - target), (*path, cell)) for x, cell, _ in bounds] + [(abs(at - target), (*path, 1 << BITS))])
-                last = level + 1 >= 2 * -(-64 // BITS)
+                last = level + 1 >= 3 * _ROUNDS
                 if near[0] <= slack or last:
                     done[b] = list(near[1])
                 else:
@@ -90,25 +92,30 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE) -> Da
     """Per document: doc_id, size (UTF-8 bytes of its text plus 1), text_crc32 (unsigned; of no bytes if the text is
     null), shard (0 to shards - 1; their sums of sizes differ from a shard's share by `tolerance` of it and the largest
     text), slot (0, 1, ... within each shard). Equal texts share a shard unless a boundary has to cut them. Repeated
-    rows and null doc_ids are placed like all others; of rows that are alike in all but their order either may come
-    first. Empty tables give no rows; other columns are ignored."""
+    rows and null doc_ids are placed like all others; rows that are alike may be told apart by a boundary or a slot, and
+    either may come first. Empty tables give no rows; other columns are ignored."""
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    keyed = common.settled(keyed.withColumn("d", F.xxhash64("doc_id", "text_crc32", F.lit(1))), "keys")
-    found = splitters(keyed.select("h", "d", "size"), shards, tolerance)
+    keyed = common.settled(keyed.withColumn("d", F.xxhash64("doc_id", "text_crc32", F.lit(1))).withColumn("p", F.xxhash64(F.monotonically_increasing_id())), "keys")
+    found = splitters(keyed.select("h", "d", "p", "size"), shards, tolerance)
     placed = keyed.withColumn("shard", sum((F.when(_above(s), 1).otherwise(0) for s in found), F.lit(0)).cast("int"))
 
     n = keyed.count()
     pieces = max(1, min(1 << 20, n // CELL))
     unsigned = lambda c: (F.shiftrightunsigned(F.col(c), 11).cast("double") / float(1 << 53))
     placed = placed.withColumn("cell", F.floor(unsigned("h") * pieces).cast("int"))
-    cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    cut = cells.where(F.col("n") > 4 * CELL).select("shard", "cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    # at most n / (4 * CELL) cells are that large
+    # at most n / (4 * CELL) cells are that large, and as many of their parts
     few = n // (4 * CELL) <= BROADCAST
-    parts = placed.join(F.broadcast(cut) if few else cut, ["shard", "cell"], "left").withColumn("part", F.floor(unsigned("d") * F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    counts = parts.groupBy("shard", "cell", "part").agg(F.count("*").alias("n"))
-    before = counts.selectExpr("shard", "cell", "part", "coalesce(sum(n) OVER (PARTITION BY shard ORDER BY cell, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
-    ranked = parts.selectExpr("*", "row_number() OVER (PARTITION BY shard, cell, part ORDER BY h, d, doc_id, size, text_crc32) - 1 AS place")
-    joined = ranked.join(F.broadcast(before) if 2 * pieces + shards + n // CELL <= BROADCAST else before, ["shard", "cell", "part"])
+
+    def parted(rows: DataFrame, by: list[str], hash_: str, name: str) -> DataFrame:
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+        cut = sizes.where(F.col("n") > 4 * CELL).select(*by, F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+        return rows.join(F.broadcast(cut) if few else cut, by, "left").withColumn(name, F.floor(unsigned(hash_) * F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+    cell = ["shard", "cell", "part", "slice"]
+    parts = parted(parted(placed, cell[:2], "d", "part"), cell[:3], "p", "slice")
+    counts = parts.groupBy(*cell).agg(F.count("*").alias("n"))
+    before = counts.selectExpr(*cell, "coalesce(sum(n) OVER (PARTITION BY shard ORDER BY cell, part, slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    ranked = parts.selectExpr("*", "row_number() OVER (PARTITION BY shard, cell, part, slice ORDER BY h, d, doc_id, size, text_crc32, p) - 1 AS place")
+    joined = ranked.join(F.broadcast(before) if 2 * pieces + shards + 2 * (n // CELL) <= BROADCAST else before, cell)
     return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"))

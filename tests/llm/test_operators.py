@@ -144,6 +144,20 @@ def test_shards_of_odd_rows(spark, odd, none):
     assert sharding.shard(same, 4).count() == 64
 
 
+def test_shards_cut_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL", 20)
+    rows = [(7, "the same text in the same document")] * 3000 + [(i, prose(i, 5)) for i in range(300)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 16).collect()
+    assert len(got) == 3300 and sum(r.doc_id == 7 and r["size"] == 35 for r in got) >= 3000
+    bytes_, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        bytes_[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    share = sum(bytes_.values()) / 16
+    assert set(bytes_) == set(range(16)) and all(abs(n - share) <= 0.005 * share + 2 * 200 for n in bytes_.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # --- 3: toxicity ---
 
 
