@@ -132,5 +132,47 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+#: The patterns of candidates, names in either case, by the order of kinds at the same start. Runs of hex are taken from 32 on,
+#: which are those that count.
+_PATTERNS = {
+    "assign": "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]{32,}",
+    "entropy": "[A-Za-z0-9+/_-]{20,}={0,2}",
+}
+_CUT = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits FROM docs" for rank, (kind, pattern) in enumerate(_PATTERNS.items()))
+
+OP9_SQL = rf"""
+WITH docs AS (SELECT doc_id, source, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents),
+cut AS ({_CUT}),
+placed AS (
+    SELECT doc_id, kind, rank, unnest(hits) AS hit, unnest(list_transform(range(1, len(hits) + 1),
+        lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0))) AS s FROM cut),
+valued AS (
+    SELECT doc_id, kind, rank, CAST(s AS BIGINT) AS s, CAST(s + length(hit) AS BIGINT) AS e,
+        CASE WHEN kind = 'assign' THEN regexp_extract(hit, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE hit END AS v FROM placed),
+sized AS (
+    SELECT *, list_sum(list_transform(map_values(list_histogram(string_split(v, ''))), lambda k: -(k / length(v)) * log2(k / length(v)))) AS bits
+    FROM valued WHERE length(v) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 WHEN 'hex' THEN 32 ELSE 20 END),
+base AS (SELECT * FROM sized WHERE kind <> 'entropy'),
+found AS MATERIALIZED (
+    SELECT * FROM base UNION ALL
+    SELECT * FROM sized x WHERE kind = 'entropy' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND bits >= 3.0
+        AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
+examples AS (
+    SELECT v FROM (SELECT v, coalesce(source, '?' || doc_id) AS owner, repository FROM found JOIN docs USING (doc_id))
+    GROUP BY v HAVING count(DISTINCT owner) >= 3 OR count(DISTINCT (owner, repository)) >= 6),
+judged AS (
+    SELECT f.*, x.v IS NOT NULL AS example, x.v IS NULL AND bits >= 3.0 AND regexp_matches(f.v, '[0-9]') AND len(list_distinct(string_split(f.v, ''))) >= 8 AS live
+    FROM found f LEFT JOIN examples x ON f.v = x.v),
+spelled AS (SELECT *, kind || ':' || s || ':' || e AS span FROM judged)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (kind <> 'entropy'), '')) AS base_sha256,
+    coalesce(string_agg(span, ',' ORDER BY s, rank) FILTER (kind <> 'entropy' OR live), '') AS spans,
+    CAST(count(*) FILTER (live) AS INT) AS n_live, count(*) FILTER (example) AS n_examples
+FROM docs LEFT JOIN spelled USING (doc_id) GROUP BY doc_id
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_sharding, op3_toxicity, op4_media_columns, op5_sentencepiece, op6_chat_format, op7_ngram_jaccard_join, op8_url_filter, op9_secret_scan, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_secret_scan": OP9_SQL, "op10_benchmark_decontamination": OP10_SQL}
