@@ -58,24 +58,24 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
             rows = rows.withColumn("path", F.array(*(_level(k) for k in range(level)))).where(F.col("path").isin(*known))
         else:
             rows = rows.withColumn("path", F.array().cast("array<int>"))
-        cells: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for r in rows.groupBy("path", grain.alias("cell")).agg(F.sum("size").alias("size")).collect():
-            cells.setdefault(tuple(r.path), []).append((r.cell, r.size))
+        cells: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
+        for r in rows.groupBy("path", grain.alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
+            cells.setdefault(tuple(r.path), []).append((r.cell, r.size, r.n))
         next_: dict[tuple[int, ...], tuple[int, list[int]]] = {}
         for path, (below, wanted) in open_.items():
             at, found = below, sorted(cells.get(path, []))
-            bounds = []  # (bytes below, first cell of the upper side)
-            for cell, size in found:
-                bounds.append((at, cell, size))
+            bounds = []  # (bytes below, first cell of the upper side, rows of it)
+            for cell, size, n in found:
+                bounds.append((at, cell, n))
                 at += size
             for b in wanted:
                 target = total * b / shards
                 near = min([(abs(x - target), (*path, cell)) for x, cell, _ in bounds] + [(abs(at - target), (*path, 1 << BITS))])
-                last = level + 1 >= 3 * _ROUNDS
-                if near[0] <= slack or last:
+                x, cell, n = max((y for y in bounds if y[0] <= target), default=(at, 1 << BITS, 0))
+                # finer cells of one row have no boundary between
+                if near[0] <= slack or n <= 1 or level + 1 >= 3 * _ROUNDS:
                     done[b] = list(near[1])
                 else:
-                    x, cell, _ = max(y for y in bounds if y[0] <= target)
                     deeper = next_.setdefault((*path, cell), (x, []))
                     deeper[1].append(b)
         open_, level = next_, level + 1
