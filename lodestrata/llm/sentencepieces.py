@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,18 @@ def load(path: str = DEFAULT_MODEL) -> Model:
     return Model(texts, n, usable, byte_ids, {t: i for t, i in of.items() if len(t) == 1}, keys[by], np.array([v[0] for v in best.values()])[by], event, head, tail, segments, cover, np.frombuffer(b"".join(spelled), np.uint8))
 
 
+class _Segments(dict):
+    """Segments with their numbers, given in the order of first sight; those seen since the last look are in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        k = self[segment] = len(self)
+        self.new.append(segment)
+        return k
+
+
 class Encoder:
     """Encodes batches of texts; keeps the pieces of segments and the judgement of pairs that it has seen."""
 
@@ -153,8 +166,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.kept: list[np.ndarray] = []
+        self.seen = _Segments()
         self.at = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
 
@@ -206,14 +218,14 @@ class Encoder:
         for k in range(per):
             key = (key << np.uint64(bits)) | padded[k : k + len(key)]
         # the suffix array: by `per` symbols, then by twice as many, until no piece is longer
-        order = np.argsort(key[:n], kind="stable")
+        order = np.argsort(key[:n])
         depth = per
         while depth < self.longest:
             ranked = key[:n][order] if depth == per else rank[order]
             rank = np.zeros(n + self.longest, np.uint64)
             rank[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]])).astype(np.uint64)
             rank[:n] = (rank[:n] << np.uint64(32)) | rank[depth : depth + n]
-            order = np.argsort(rank[:n], kind="stable")
+            order = np.argsort(rank[:n])
             rank = rank[:n]
             depth *= 2
         known = (dense[self.spelled] > 0) | (self.spelled == 0)
@@ -328,24 +340,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the offsets of each one's."""
-        if len(self.seen) > SEEN:
+        if len(self.seen) > SEEN or self.seen.new:  # what a failed batch has left has no pieces
             self.forget()
         # an empty text has no pieces, not even the dummy prefix
         found = [self.pattern.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        every = [s for x in found for s in x]
-        new = list({s: None for s in every if s not in self.seen})
-        if new:
-            ids, ends = self._pieces(new)
-            first = len(self.seen)
-            self.seen.update(zip(new, range(first, first + len(new)), strict=True))
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        which = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(found)), np.int64, int(count.sum()))
+        if self.seen.new:
+            ids, ends = self._pieces(self.seen.new)
             self.at = np.concatenate([self.at, len(self.flat) + ends])
             self.flat = np.concatenate([self.flat, ids])
-        which = np.fromiter(map(self.seen.__getitem__, every), np.int64, len(every))
+            self.seen.new = []
         n = self.at[which + 1] - self.at[which]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.at[which] - (ends - n), n) + np.arange(total)]
-        per = np.cumsum(np.concatenate([[0], np.fromiter(map(len, found), np.int64, len(found))]))
+        per = np.cumsum(np.concatenate([[0], count]))
         return ids, np.concatenate([[0], ends])[per]
 
 
