@@ -671,10 +671,41 @@ def test_dealt_join_sends_hot_keys(spark, monkeypatch):
         assert got == sorted(((r.id, r.key, r.v) for r in rows.join(table, "key", how).collect()), key=str)
 
 
-def test_components_of_a_star_and_a_path(spark):
+@pytest.mark.parametrize("tasks", ["one", "many"])
+def test_components_of_a_star_and_a_path(spark, tasks):
     star = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(2999, 5000)]
-    got = components.components(spark.createDataFrame(star, "u long, v long"), "t")
-    assert got.where("root <> 0").count() == 0 and got.count() == got.select("id").distinct().count() == 3041
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(tasks == "one").lower())  # in many tasks, rounds follow
+    try:
+        got = components.components(spark.createDataFrame(star, "u long, v long"), "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.root for r in got} == {0} and len(got) == len({r.id for r in got}) == 3041
+
+
+@pytest.mark.parametrize("tasks", ["one", "many"])
+def test_components_of_any_edges(spark, tasks):
+    rng = np.random.default_rng(3)
+    u, v = rng.integers(0, 900, (2, 500)) * 7 - 50
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    alone = {x for x in root if not any(x in e for e in zip(u.tolist(), v.tolist(), strict=True) if e[0] != e[1])}
+    want = {x: find(x) for x in root if x not in alone}
+    assert dict(zip(*(x.tolist() for x in components.contracted(u, v)), strict=True)) == {x: r for x, r in want.items() if x != r}
+    edges = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "u long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(tasks == "one").lower())
+    try:
+        got = components.components(edges, "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(want) and {r.id: r.root for r in got} == want
 
 
 def test_an_index_of_many_files_is_read_a_bounded_number_of_times(spark, monkeypatch):
