@@ -283,12 +283,18 @@ def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
 def _meetings(forest: DataFrame) -> DataFrame:
     """(u, v): sets that may link are tied together through these. A set that shares fewer nodes with any others than it
     can spare is left out: with a partner it would share more. Shared or not is the same for both partners, so what both
-    must keep stays, and is tied to the least of those that stay."""
+    must keep stays. Of what stays, a set needs no more of its shared nodes, the rarest first, than all but as many as it
+    must share with a partner, less one: the rarest node that two partners share is among these of both. So what many
+    documents quote ties only sets that have nothing rarer. In these nodes, sets are tied to the least of them."""
     met = forest.selectExpr("node", "id", "form", "spare", "met OR min(set) OVER (PARTITION BY key) <> max(set) OVER (PARTITION BY key) AS met").where("met")
-    kept = met.selectExpr("node", "id", "spare", "count(*) OVER (PARTITION BY id, form) AS shared").where("shared >= spare").select("node", "id")
+    kept = met.selectExpr("node", "id", "form", "spare", "count(*) OVER (PARTITION BY id, form) AS shared").where("shared >= spare").drop("shared")
     kept = common.settled(kept, "kept")
-    least = common.settled(kept.groupBy("node").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1"), "least")
-    return common.dealt_join(kept, least, ["node"], "n", kept.count()).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    often = common.settled(kept.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumn("often", F.col("n")), "often")
+    several = common.dealt_join(kept, often, ["node"], "n", kept.count())
+    ranked = several.selectExpr("node", "id", "spare", "count(*) OVER (PARTITION BY id, form) AS shared", "row_number() OVER (PARTITION BY id, form ORDER BY often, node) AS place")
+    rare = common.settled(ranked.where("place <= shared - greatest(spare, 1) + 1").select("node", "id"), "rare")
+    least = common.settled(rare.groupBy("node").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1"), "least")
+    return common.dealt_join(rare, least, ["node"], "n", rare.count()).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

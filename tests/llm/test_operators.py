@@ -502,6 +502,19 @@ def test_ngram_join_broadcasts_bounded_rows(spark, monkeypatch):
         assert len(sent) == (most > 100) and all(40 < n <= most for n in sent)
 
 
+def test_ngram_join_blocks_do_not_grow_by_a_quoted_passage(spark):
+    """Pairs of near copies that all quote one passage stay in blocks of their own, and all links are found."""
+    passage, rows = prose(3, 60, tuple(f"p{i}" for i in range(200))), []
+    for k in range(60):
+        own = prose(200 + k, 120, tuple(f"w{i}" for i in range(400))).split()
+        rows += [(2 * k, " ".join([passage, *own])), (2 * k + 1, " ".join([passage, *own[:-1], f"x{k}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    blocks = ngram_join.components(ngram_join._meetings(ngram_join._forest(df, 5, 80)), "blocks")
+    assert max(r["count"] for r in blocks.groupBy("root").count().collect()) <= 12
+    got = sorted((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in ngram_join.ngram_join(df, 5, 80).collect())
+    assert got == jaccard_groups(rows, 5, 80) and {r[2] for r in got} == {1}
+
+
 def test_trie_join_finds_all_pairs():
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 60, 80, dtype=np.uint64))
